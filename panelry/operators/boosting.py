@@ -46,26 +46,34 @@ def _model_frame(df: DataFrame, predictors: Sequence[str]) -> DataFrame:
     return df.withColumns(columns)
 
 
-def median_imputed_features(train: DataFrame, predictors: Sequence[str]) -> DataFrame:
-    """Numeric predictors with nulls replaced by the training median (the lower middle value)."""
+def median_imputed_features(train: DataFrame, predictors: Sequence[str], median_error: float = 0.0) -> DataFrame:
+    """Numeric predictors with nulls replaced by the training median (the lower middle value).
+
+    An error of 0 is exact and keeps every distinct value while it counts; a positive rank error
+    bounds the memory on very large training tables.
+    """
     _, numeric = _split_types(train, predictors)
     frame = _model_frame(train, predictors)
-    return _imputer(numeric).fit(frame).transform(frame)
+    return _imputer(numeric, median_error).fit(frame).transform(frame)
 
 
-def _imputer(numeric: list[str]) -> Imputer:
-    return Imputer(strategy="median", relativeError=0.0, inputCols=numeric, outputCols=numeric)
+def _imputer(numeric: list[str], error: float) -> Imputer:
+    return Imputer(strategy="median", relativeError=error, inputCols=numeric, outputCols=numeric)
 
 
 def zero_variance_columns(train: DataFrame, predictors: Sequence[str]) -> DataFrame:
-    """Numeric predictors that never change in training, from one aggregate over the table."""
+    """Whether each numeric predictor never changes in training, from one aggregate over the table."""
     _, numeric = _split_types(train, predictors)
-    spread = train.agg(*[F.min(name).eqNullSafe(F.max(name)).alias(name) for name in numeric])
-    return spread.unpivot([], numeric, "feature", "constant").where("constant").select("feature")
+    fixed = train.agg(*[F.min(name).eqNullSafe(F.max(name)).alias(name) for name in numeric])
+    return fixed.unpivot([], numeric, "feature", "is_constant")
 
 
 def fit_gbt(
-    train: DataFrame, predictors: Sequence[str], target: str = "units_sold", trees: int | None = None
+    train: DataFrame,
+    predictors: Sequence[str],
+    target: str = "units_sold",
+    trees: int | None = None,
+    median_error: float = 0.001,
 ) -> PipelineModel:
     """Fit the whole pipeline: index, one-hot with all levels, impute, assemble, drop constants, boost.
 
@@ -80,7 +88,7 @@ def fit_gbt(
         stages.append(StringIndexer(inputCols=nominal, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=False, handleInvalid="keep"))
     stages += [
-        _imputer(numeric),
+        _imputer(numeric, median_error),
         VectorAssembler(inputCols=encoded + numeric, outputCol="all_features"),
         VarianceThresholdSelector(varianceThreshold=0.0, featuresCol="all_features", outputCol="features"),
         GBTRegressor(

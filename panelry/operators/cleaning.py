@@ -42,11 +42,13 @@ def unpivot_daily_sales(
 
     One array per row and a generator over it: a thousand day columns cost one pass over the row,
     where a projection per column would compile and copy the row a thousand times. Narrow, no shuffle.
+    The two arrays are parsed from text, one call each instead of one per column.
     """
     days = [column for column in df.columns if column.startswith(prefix)]
     keys = [column for column in df.columns if column not in days]
-    labels = F.array(*[F.lit(day) for day in days])
-    return df.select(*keys, F.posexplode(F.array(*days)).alias("_at", value)).select(
+    values = F.expr("array(" + ", ".join(f"`{day}`" for day in days) + ")")
+    labels = F.expr("array(" + ", ".join(f"'{day}'" for day in days) + ")")
+    return df.select(*keys, F.posexplode(values).alias("_at", value)).select(
         *keys, F.element_at(labels, F.col("_at") + 1).alias(name), value
     )
 

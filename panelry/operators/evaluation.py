@@ -6,8 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelry.sources.contracts import ContractError
-
 # Metric precision, the label of the overall rows and the run description.
 METRIC_DIGITS = 3
 OVERALL = "ALL"
@@ -57,7 +55,7 @@ def split_validation(train: DataFrame, test: DataFrame, horizon: int, key: str =
         key,
         "test_rows",
         (F.col("test_rows") == horizon).alias("fills_horizon"),
-        (train_end >= F.col("_from")).alias("overlaps"),
+        (train_end >= F.col("_from")).alias("train_overlap"),
     )
 
 
@@ -95,12 +93,6 @@ def forecast_validation(errors: DataFrame, models: int, horizon: int) -> DataFra
     )
 
 
-def check_empty(df: DataFrame, message: str) -> None:
-    """Raise when a check query returns a row. Reads at most one row to the driver."""
-    if not df.isEmpty():
-        raise ContractError(message)
-
-
 def metric_columns() -> list[Column]:
     """MAE, RMSE, WAPE, bias and means as aggregates over actual and predicted."""
     actual, predicted = F.col("actual"), F.col("predicted")

@@ -42,16 +42,16 @@ def filter_choices(df: DataFrame, columns: Sequence[str] = ("cat_id",)) -> DataF
     """The values each filter offers, and the date range, as one small table in one pass over the data."""
     seen = df.groupBy(*columns).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("filter"), F.col(c).cast("string").alias("choice")) for c in columns],
-        *[F.struct(F.lit("date").alias("filter"), F.col(c).cast("string").alias("choice")) for c in ("_lo", "_hi")],
+        *[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("choice")) for c in columns],
+        *[F.struct(F.lit("date").alias("field"), F.col(c).cast("string").alias("choice")) for c in ("_lo", "_hi")],
     )
     choices = seen.select(F.inline(pairs)).distinct()
-    by_filter = Window.partitionBy("filter")
-    first, last = F.min("choice").over(by_filter), F.max("choice").over(by_filter)
-    kept = choices.select("filter", "choice", first.alias("_a"), last.alias("_b"))
-    return kept.where((F.col("filter") != "date") | F.col("choice").isin(F.col("_a"), F.col("_b"))).select(
-        "filter", "choice"
-    ).orderBy("filter", "choice")
+    by_field = Window.partitionBy("field")
+    first, last = F.min("choice").over(by_field), F.max("choice").over(by_field)
+    kept = choices.select("field", "choice", first.alias("_a"), last.alias("_b"))
+    return kept.where((F.col("field") != "date") | F.col("choice").isin(F.col("_a"), F.col("_b"))).select(
+        "field", "choice"
+    ).orderBy("field", "choice")
 
 
 def overview_kpis(panel: DataFrame, products: DataFrame) -> DataFrame:

@@ -21,18 +21,20 @@ SELECTED = 100
 TREES = 20
 HISTORY_FEATURE = "rolling_mean_7"
 PRICE_WIDTH = 100.0
-MONEY = {"revenue", "total_revenue", "sell_price_sum", "metric_value"}
+MONEY = {"revenue", "total_revenue", "metric_value"}
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles (money sums to cents), so that results do not depend on the order of summation."""
-    kinds = dict(df.dtypes)
-    return df.select(
-        *[
-            (F.round(name, 2 if name in MONEY else digits) + F.lit(0.0)).alias(name) if kinds[name] == "double" else F.col(name)
-            for name in df.columns
-        ]
-    )
+    """Round doubles (money sums to cents), so that results do not depend on the order of summation.
+
+    The small nudge moves values off exact decimal ties, which engines round in different directions.
+    """
+
+    def rounded(name: str):
+        places = 2 if name in MONEY else digits
+        return (F.round(F.col(name) + 1e-9, places) + F.lit(0.0)).alias(name)
+
+    return df.select(*[rounded(name) if kind == "double" else F.col(name) for name, kind in df.dtypes])
 
 
 # ---- shared inputs -------------------------------------------------------------------------------
@@ -234,7 +236,7 @@ def _imputed(spark, d):
 
 def _zero_variance(spark, d):
     train, _ = evaluation.train_test_split(stored_features(spark, d), HORIZON)
-    return boosting.zero_variance_columns(train.withColumn("price_missing", F.lit(0)), boosting.gbt_predictors(train))
+    return boosting.zero_variance_columns(train, boosting.gbt_predictors(train))
 
 
 def _unpivot(spark, d):

@@ -185,7 +185,7 @@ VIEWS["tails"] = """
     select cat_id, units_sold, row_number() over (partition by cat_id order by date desc) age,
            max(date) over (partition by cat_id) train_end from train"""
 VIEWS["naive"] = " union all ".join(
-    f"""select cast(train_end + s.step as date) as date, cat_id, '{label}' model, greatest(units_sold, 0) predicted
+    f"""select cast(train_end + cast(s.step as int) as date) as date, cat_id, '{label}' model, greatest(units_sold, 0) predicted
         from tails join (select unnest(generate_series(1, {HORIZON})) step) s
           on age = {season} - (s.step - 1) % {season}"""
     for label, season in SEASONS.items()
@@ -226,9 +226,10 @@ def percent(name: str) -> str:
 
 
 def sql(select: str, six: str = "", two: str = "") -> str:
-    """A full statement: all views, then ``select`` with the named columns rounded to 6 or 2 decimals."""
+    """A full statement: all views, then ``select`` with the named columns rounded to 6 or 2 decimals as ``tidy`` does."""
     views = ", ".join(f"{name} as ({text})" for name, text in VIEWS.items())
-    rounded = [f"round({c}, 6) + 0.0 as {c}" for c in six.split()] + [f"round({c}, 2) + 0.0 as {c}" for c in two.split()]
+    rounded = [f"round({c} + 1e-9, 6) + 0.0 as {c}" for c in six.split()]
+    rounded += [f"round({c} + 1e-9, 2) + 0.0 as {c}" for c in two.split()]
     replace = f"replace ({', '.join(rounded)})" if rounded else ""
     return f"with {views}, result as ({select}) select * {replace} from result"
 
@@ -248,11 +249,6 @@ VALIDATION = """
     count(*) as rows, count(distinct {key}) series, min(date) min_date, max(date) max_date,
     cast(count_if({target} is null) as bigint) missing_target, cast(count_if(lag_28 is null) as bigint) missing_lag_28,
     cast(count_if(rolling_mean_28 is null) as bigint) missing_rolling_mean_28"""
-SUMMARY = """
-    select 'Category-level' dataset, count(*) as rows, count(distinct cat_id) series,
-           (select count(*) - 1 from (describe select * from features)) feature_count,
-           min(date) minimum_date, max(date) maximum_date from features"""
-
 
 def missing_sql(view: str, columns: list[str]) -> str:
     return " union all ".join(
@@ -366,7 +362,7 @@ ORACLES: dict[str, str] = {
                  from features group by cat_id)"""),
     "split_validation": sql(
         f"""select cat_id, count(*) test_rows, count(*) = {HORIZON} fills_horizon,
-                   (select max(date) from train) >= min(date) overlaps from test group by cat_id"""),
+                   (select max(date) from train) >= min(date) train_overlap from test group by cat_id"""),
     "forecast_validation": sql(
         f"""select count(*) as rows, count(distinct cat_id) * {HORIZON * len(SEASONS)} expected_rows,
                    cast(count_if(actual is null) as bigint) missing_actual,
@@ -424,6 +420,11 @@ ORACLES: dict[str, str] = {
                            (select quantile_disc(price_relative_to_28_day_mean, 0.5) from tr)) price_relative_to_28_day_mean
            from tr""".replace("from tr", "from (select f.* from features f cross join cutoff where f.date < test_from)"),
         "average_price price_relative_to_28_day_mean"),
+    "zero_variance_columns": sql(
+        " union all ".join(
+            f"select '{n}' feature, count(distinct {n}) + max(cast({n} is null as int)) = 1 is_constant from tr"
+            for n in PREDICTORS if n != "cat_id"
+        ).replace("from tr", "from (select f.* from features f cross join cutoff where f.date < test_from)")),
     "forecast_errors": sql("select * from errors", ERROR_COLUMNS),
     "all_forecasts": sql("select date, cat_id, model, predicted, actual from errors"),
     "forecast_metrics": sql(f"select model, {METRICS} from errors group by model"),
@@ -484,7 +485,7 @@ ORACLES: dict[str, str] = {
         """select count(*) category_rows, count(distinct cat_id) series_count,
                   (select count(*) from dictionary join feature_gaps using (feature)) feature_count from features"""),
     "filter_choices": sql(
-        """select 'cat_id' filter, cat_id choice from errors group by 2
+        """select 'cat_id' field, cat_id choice from errors group by 2
            union all select 'model', model from errors group by 2
            union all select 'date', cast(min(date) as varchar) from errors
            union all select 'date', cast(max(date) as varchar) from errors"""),

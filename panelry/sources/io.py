@@ -33,9 +33,9 @@ def read_table(
     if schema is not None:
         reader = reader.schema(schema)
     if kind == "csv":
+        # With a schema, a header that names other columns is an error, not a silent shift.
         reader = reader.options(**CSV_OPTIONS)
-        if schema is None:
-            reader = reader.option("inferSchema", "true")
+        reader = reader.option("inferSchema", "true") if schema is None else reader.option("enforceSchema", "false")
     return reader.format(kind).load(path)
 
 

@@ -136,22 +136,21 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales_wide(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("state_id", "cat_id")) -> DataFrame:
     """Raw-file layout: one row per series, one zero-filled ``d_`` column per day of the data.
 
-    The number of columns is the number of days, so only the two bounds come to the driver; the
-    pivot itself is a grouped aggregate on (keys, day) followed by one on the keys.
+    The number of columns is the number of days, so only the two bounds come to the driver. A series
+    is gathered after the daily sums, as one value per day.
     """
     day = F.col("l_shipdate").cast("date")
     bounds = table(spark, sf_dir, "lineitem").agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
-    names = [f"d_{n}" for n in range(1, (bounds.hi - bounds.lo).days + 2)]
-    number = (F.datediff(F.col("date"), F.lit(bounds.lo)) + 1).cast("string")
-    return (
+    daily = (
         lines(spark, sf_dir)
         .join(products(spark, sf_dir), "item_id")
-        .withColumn("d", F.concat(F.lit("d_"), number))
-        .groupBy(*keys)
-        .pivot("d", names)
-        .agg(F.sum("units"))
-        .na.fill(0.0, subset=names)
+        .groupBy(*keys, "date")
+        .agg(F.sum("units").alias("sales"))
     )
+    dense = densify(daily, list(keys), F.lit(bounds.lo), F.lit(bounds.hi), zero=["sales"])
+    rows = dense.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "sales")))["sales"].alias("_values"))
+    days = (bounds.hi - bounds.lo).days + 1
+    return rows.selectExpr(*keys, *[f"_values[{n}] as d_{n + 1}" for n in range(days)])
 
 
 def category_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
