@@ -174,12 +174,11 @@ def event_proximity_effect(features: DataFrame) -> DataFrame:
     return features.groupBy(bucket.alias("event_proximity")).agg(F.avg("units_sold").alias("average_units"))
 
 
-def feature_table(features: DataFrame) -> DataFrame:
-    """The main features, continuous ones rounded to two decimals."""
+def feature_table(features: DataFrame, digits: int | None = 2) -> DataFrame:
+    """The main features that exist, continuous ones rounded to ``digits`` decimals."""
     here = [name for name in FEATURE_TABLE_COLUMNS if name in features.columns]
-    return features.select(
-        *[F.round(name, 2).alias(name) if name in ROUNDED_COLUMNS else F.col(name) for name in here]
-    )
+    shown = {name: F.round(name, digits).alias(name) for name in ROUNDED_COLUMNS} if digits is not None else {}
+    return features.select(*[shown.get(name, F.col(name)) for name in here])
 
 
 def filter_forecasts(forecasts: DataFrame, category: str | None, models: Sequence[str]) -> DataFrame:

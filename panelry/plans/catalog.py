@@ -360,7 +360,7 @@ QUERIES: dict[str, Query] = {
     "iso_weekday_average": lambda s, d: tidy(reports.iso_weekday_average(filtered_features(s, d))),
     "event_proximity_effect": lambda s, d: tidy(reports.event_proximity_effect(filtered_features(s, d))),
     "feature_missingness": lambda s, d: tidy(features.feature_missingness(ready_features(s, d), reports.MISSINGNESS_FEATURES)),
-    "feature_table": lambda s, d: tidy(reports.feature_table(filtered_features(s, d))),
+    "feature_table": lambda s, d: tidy(reports.feature_table(filtered_features(s, d), digits=None), digits=2),
     "feature_kpis": _feature_kpis,
     "filter_choices": lambda s, d: reports.filter_choices(naive_errors(s, d), ("cat_id", "model")),
     "filter_forecasts": lambda s, d: tidy(reports.filter_forecasts(naive_errors(s, d), CATEGORY, MODELS)),

@@ -13,6 +13,31 @@ START = dt.date(2016, 4, 25)
 # Published holdout demand, weekly naive forecasts and their metrics
 # (mae, rmse, wape, bias, mean actual, mean predicted).
 HOUSEHOLD_NAIVE = [917, 810, 869, 766, 900, 1252, 1346]
+PUBLISHED_NAIVE = {
+    "FOODS": [2886, 2488, 2490, 2533, 2960, 3655, 4053],
+    "HOBBIES": [542, 495, 363, 410, 527, 670, 714],
+    "HOUSEHOLD": HOUSEHOLD_NAIVE,
+}
+PUBLISHED_DEMAND = {
+    "FOODS": [
+        2893, 2518, 2467, 2446, 3032, 3950, 4254, 3278, 2997, 2840, 2735, 3303, 4106, 3630,
+        3245, 2896, 2687, 2663, 3365, 4046, 4717, 3198, 2794, 2816, 2854, 2993, 3783, 4327,
+    ],
+    "HOBBIES": [
+        589, 426, 451, 432, 584, 636, 684, 529, 628, 565, 439, 570, 646, 513,
+        641, 389, 505, 596, 588, 806, 687, 417, 393, 381, 406, 539, 719, 646,
+    ],
+    "HOUSEHOLD": [
+        990, 759, 797, 740, 957, 1312, 1459, 987, 969, 829, 744, 931, 1317, 1069,
+        973, 819, 790, 790, 998, 1393, 1303, 953, 762, 798, 876, 901, 1262, 1316,
+    ],
+}
+PUBLISHED_METRICS = {
+    "FOODS": (272.821, 317.321, 8.41, -7.236, 3244.036, 3009.286),
+    "HOBBIES": (75.964, 95.452, 13.807, -3.382, 550.179, 531.571),
+    "HOUSEHOLD": (66.857, 86.746, 6.735, -1.274, 992.643, 980.0),
+    "ALL": (138.548, 197.761, 8.683, -5.557, 1595.619, 1506.952),
+}
 PUBLISHED_RANKS = {
     "FOODS": [("ETS", 7.486, 290.176, 242.836), ("XGBoost", 8.377, 339.164, 271.739), ("Seasonal Naive", 8.41, 317.321, 272.821)],
     "HOBBIES": [("XGBoost", 10.191, 67.19, 56.068), ("ETS", 12.647, 81.603, 69.579), ("Seasonal Naive", 13.807, 95.452, 75.964)],
@@ -20,6 +45,22 @@ PUBLISHED_RANKS = {
 }
 
 
+def test_published_naive_metrics(spark):
+    days = [START + dt.timedelta(i) for i in range(28)]
+    before = [START - dt.timedelta(7 - i) for i in range(7)]
+    schema = "date date, cat_id string, units_sold double"
+    train = [(d, c, float(v)) for c, week in PUBLISHED_NAIVE.items() for d, v in zip(before, week)]
+    test = [(d, c, float(v)) for c, values in PUBLISHED_DEMAND.items() for d, v in zip(days, values)]
+    forecasts = naive.seasonal_naive_forecast(spark.createDataFrame(train, schema), 28)
+    errors = evaluation.all_forecasts([forecasts], spark.createDataFrame(test, schema))
+    checks.check_forecasts(errors, 1, 28)
+    got = {
+        r.cat_id: (r.mae, r.rmse, r.wape, r.forecast_bias, r.mean_actual, r.mean_predicted)
+        for r in evaluation.all_model_metrics(errors).collect()
+    }
+    assert got == PUBLISHED_METRICS
+
+
 def test_published_rankings(spark):
     data = [(c, *m) for c, models in PUBLISHED_RANKS.items() for m in reversed(models)]
     metrics = spark.createDataFrame(data, "cat_id string, model string, wape double, rmse double, mae double")
