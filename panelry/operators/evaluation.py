@@ -151,7 +151,8 @@ def best_models(rankings: DataFrame) -> DataFrame:
 def forecasts_with_rank(errors: DataFrame, rankings: DataFrame) -> DataFrame:
     """Attach rank and best flag; ranks already present are replaced."""
     ranks = rankings.select("cat_id", "model", "model_rank", "is_best_model")
-    return errors.drop("model_rank", "is_best_model").join(ranks, ["cat_id", "model"], "left")
+    own = [name for name in errors.columns if name not in ("model_rank", "is_best_model")]
+    return errors.select(own).join(ranks, ["cat_id", "model"], "left").select(*own, "model_rank", "is_best_model")
 
 
 def category_residuals(ranked: DataFrame) -> DataFrame:

@@ -81,8 +81,7 @@ def product_features(spark, d):
 
 def products(spark, d):
     """Product table of the sparse item days, the missing days counted as zero-sales days."""
-    priced = retail.with_item_price(retail.product_days(spark, d), spark, d)
-    return cleaning.product_summary(priced, days=retail.day_count(spark, d))
+    return cleaning.product_summary(retail.priced_product_days(spark, d), days=retail.day_count(spark, d))
 
 
 def stored_units(spark, d):

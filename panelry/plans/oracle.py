@@ -16,7 +16,7 @@ DAY = "cast(l_shipdate as date)"
 VIEWS = {
     "lines": f"""
         select n_name store_id, r_name state_id, l_partkey item_id, {DAY} as date, {UNITS} units,
-               case when l_returnflag <> 'R' then l_extendedprice / l_quantity end unit_price
+               case when l_returnflag <> 'R' then floor(l_extendedprice / l_quantity * 100) / 100 end unit_price
         from lineitem join supplier on l_suppkey = s_suppkey
              join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "products": "select p_partkey item_id, p_brand dept_id, p_type cat_id from part",

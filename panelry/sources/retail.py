@@ -7,11 +7,11 @@ record.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelry.functions.expressions import iso_week_key
 from panelry.operators.cleaning import (
-    add_row_flags, daily_category_sales, join_calendar, join_prices, snake_columns,
+    add_row_flags, daily_category_sales, join_calendar, snake_columns,
 )
 from panelry.operators.features import densify
 
@@ -30,32 +30,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier key to store and state."""
+    """Store number, store and state: one row per nation."""
     return (
-        table(spark, sf_dir, "supplier")
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        table(spark, sf_dir, "nation")
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", F.col("n_name").alias("store_id"), F.col("r_name").alias("state_id"))
+        .select(
+            F.col("n_nationkey").alias("store_no"), F.col("n_name").alias("store_id"), F.col("r_name").alias("state_id")
+        )
     )
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per sales line: store, item, date, net units and the unit price of a kept line."""
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per sales line: store number, item, date, net units and the unit price of a kept line.
+
+    The store travels as a number; names are attached after a roll-up, so that no shuffle carries them.
+    Prices are in whole cents.
+    """
     kept = F.col("l_returnflag") != "R"
+    cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("store_no"))
     return (
         table(spark, sf_dir, "lineitem")
-        .join(stores(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
-            "store_id",
-            "state_id",
+            "store_no",
             F.col("l_partkey").alias("item_id"),
             F.col("l_shipdate").cast("date").alias("date"),
             F.when(kept, F.col("l_quantity")).otherwise(0.0).alias("units"),
-            F.when(kept, F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+            F.when(kept, cents).alias("unit_price"),
         )
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines with store and state names."""
+    return numbered_lines(spark, sf_dir).join(stores(spark, sf_dir), "store_no").drop("store_no")
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("item_id"),
@@ -106,31 +117,43 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snake_columns(raw_calendar(spark, sf_dir))
 
 
-def prices(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("store_id", "item_id")) -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price on record per store, item and week: the highest unit price of the week's kept lines."""
     return (
-        lines(spark, sf_dir)
+        numbered_lines(spark, sf_dir)
         .where(F.col("unit_price").isNotNull())
-        .groupBy(*keys, iso_week_key("date").alias("wm_yr_wk"))
+        .groupBy("store_no", "item_id", iso_week_key("date").alias("wm_yr_wk"))
         .agg(F.max("unit_price").alias("sell_price"))
+        .join(stores(spark, sf_dir), "store_no")
+        .select("store_id", "item_id", "wm_yr_wk", "sell_price")
     )
 
 
+def weekly_price(df: DataFrame, *keys: str) -> DataFrame:
+    """Replace the daily unit price by the price on record of the week.
+
+    Equal to joining ``prices``, which derive from the same lines, without reading the lines again. A
+    window partition holds the days of one week.
+    """
+    week = Window.partitionBy(*keys, "wm_yr_wk")
+    return df.withColumn("sell_price", F.max("unit_price").over(week)).drop("unit_price")
+
+
 def item_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per store, item and day. After this no item has more rows than stores × days."""
     return (
-        lines(spark, sf_dir)
-        .groupBy("store_id", "state_id", "item_id", "date")
-        .agg(F.sum("units").alias("sales"))
+        numbered_lines(spark, sf_dir)
+        .groupBy("store_no", "item_id", "date")
+        .agg(F.sum("units").alias("sales"), F.max("unit_price").alias("unit_price"))
         .join(products(spark, sf_dir), "item_id")
     )
 
 
 def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned fact table: item-store days with calendar, price, flags and revenue."""
-    days = calendar(spark, sf_dir)
-    joined = join_calendar(item_days(spark, sf_dir), days, on="date")
-    return add_row_flags(join_prices(joined, prices(spark, sf_dir)))
+    joined = join_calendar(item_days(spark, sf_dir), calendar(spark, sf_dir), on="date")
+    priced = weekly_price(joined, "store_no", "item_id")
+    return add_row_flags(priced.join(stores(spark, sf_dir), "store_no").drop("store_no"))
 
 
 def sales_wide(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("state_id", "cat_id")) -> DataFrame:
@@ -162,51 +185,48 @@ def category_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_row_flags(join_calendar(dense, days, on="date"), revenue=False)
 
 
-def category_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense category × day units: the part of the category panel that forecasting needs.
-
-    One join, one aggregate that is combined before its shuffle, and the densify shuffle of at most
-    categories × days rows; neither prices nor stores are read.
-    """
-    kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)
-    daily = (
-        table(spark, sf_dir, "lineitem")
-        .select(F.col("l_partkey").alias("item_id"), F.col("l_shipdate").cast("date").alias("date"), kept.alias("units"))
-        .join(products(spark, sf_dir), "item_id")
-        .groupBy("cat_id", "date")
-        .agg(F.sum("units").alias("units_sold"))
-    )
-    lo, hi = date_bounds(spark, sf_dir)
-    return densify(daily, ["cat_id"], lo, hi, zero=["units_sold"])
-
-
 def product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item × day units over all stores; only days with a line have a row."""
-    kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)
+    """Item × day over all stores: net units and the highest unit price; only days with a line."""
+    kept = F.col("l_returnflag") != "R"
+    cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_partkey").alias("item_id"), F.col("l_shipdate").cast("date").alias("date"))
-        .agg(F.sum(kept).alias("sales"))
+        .agg(
+            F.sum(F.when(kept, F.col("l_quantity")).otherwise(0.0)).alias("sales"),
+            F.max(F.when(kept, cents)).alias("unit_price"),
+        )
         .join(products(spark, sf_dir), "item_id")
     )
 
 
-def with_item_price(days: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attach the highest weekly price of any store to item days."""
-    keyed = days if "wm_yr_wk" in days.columns else days.withColumn("wm_yr_wk", iso_week_key("date"))
-    return join_prices(keyed, prices(spark, sf_dir, keys=("item_id",)), keys=("item_id", "wm_yr_wk"))
+def category_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense category × day units: the part of the category panel that forecasting needs.
+
+    Rolls up to item days first, so that a popular item reaches the product join as at most one row
+    per day; then to category days, and densifies at most categories × days rows.
+    """
+    daily = product_days(spark, sf_dir).groupBy("cat_id", "date").agg(F.sum("sales").alias("units_sold"))
+    lo, hi = date_bounds(spark, sf_dir)
+    return densify(daily, ["cat_id"], lo, hi, zero=["units_sold"])
+
+
+def priced_product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item days with the highest weekly price of any store."""
+    return weekly_price(product_days(spark, sf_dir).withColumn("wm_yr_wk", iso_week_key("date")), "item_id")
 
 
 def product_panel(spark: SparkSession, sf_dir: str, selected: DataFrame) -> DataFrame:
     """Dense item × day panel of the selected products, with calendar, flags and weekly price.
 
-    The semi-join comes before the densify, so only selected products get a row per day.
+    The semi-join comes before the densify, so only selected products get a row per day. The weekly
+    price and all feature windows reuse the densify's partitioning by item.
     """
     chosen = product_days(spark, sf_dir).join(selected, "item_id", "left_semi")
     lo, hi = date_bounds(spark, sf_dir)
-    dense = densify(chosen, ["item_id"], lo, hi, zero=["sales"])
+    dense = densify(chosen, ["item_id"], lo, hi, zero=["sales"], null=["unit_price"])
     dated = join_calendar(dense, calendar(spark, sf_dir), on="date")
-    return add_row_flags(with_item_price(dated, spark, sf_dir))
+    return add_row_flags(weekly_price(dated, "item_id"))
 
 
 def day_count(spark: SparkSession, sf_dir: str) -> Column:
