@@ -2,8 +2,8 @@
 
 Spark gathers each series into one row (a series never has more values than there are days), spreads
 the rows and turns the chosen forms into forecasts. The parameter search of one series runs in an
-Arrow-batched UDF. The same recursion as a fold over an array column was measured first and took
-about a hundred times longer.
+Arrow-batched UDF. The same recursion as a fold over an array column was measured first: 222 s for six
+series, against 7 s here.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ HORIZON = 28
 SEASONS = {"Seasonal Naive": 7, "Seasonal Naive 14": 14, "Seasonal Naive 28": 28}
 DATE_FROM, DATE_TO = "1996-01-01", "1999-12-31"
 CATEGORY = "PROMO"
-STORE = "FRANCE"
+STORE = "NATION_3"
 SELECTED = 100
 TREES = 20
 HISTORY_FEATURE = "rolling_mean_7"

@@ -276,7 +276,7 @@ FEATURE_SUMMARY = f"""
     select 'Product-level', count(*), count(distinct item_id), {PRODUCT_FEATURES}, min(date), max(date) from pfeatures"""
 LEAKAGE = "select corr({0}, lag_1) correlation_target_lag_1, corr({0}, rolling_mean_7) correlation_target_rolling_7 from {1}"
 LINEAR = """
-    select count_if({y} is not null and {x} is not null) pairs, regr_slope({y}, {x}) slope,
+    select cast(count_if({y} is not null and {x} is not null) as bigint) pairs, regr_slope({y}, {x}) slope,
            regr_intercept({y}, {x}) intercept, regr_r2({y}, {x}) r2 from {view}"""
 BIG_TOTALS = "select item_id, total_sales from product_totals"
 WIDE_LONG = """

@@ -83,7 +83,7 @@ def main() -> None:
             df = contract.queries()[name](spark, sf_dir)
             if name in statements:
                 found = differences(df, con, statements[name])
-                verdict = "same" if not found else "DIFFERENT " + " | ".join(found)[:600]
+                verdict = f"same {con.sql(statements[name]).aggregate('count(*)').fetchall()[0][0]}" if not found else "DIFFERENT " + " | ".join(found)[:600]
             else:
                 verdict = f"rows {len(df.collect())}, no SQL twin"
         except Exception as problem:  # report every query, then go on
