@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from panelry.sources.contracts import present
-from panelry.sources.io import read_table, shared_path
+from panelry.sources.io import read_table, shared_folder, shared_path
 
 # Predictors that do not use holdout sales, and the model settings.
 PREDICTORS = [
@@ -22,7 +22,7 @@ PREDICTORS = [
 ]
 SETTINGS = {
     "maxIter": 800, "maxDepth": 6, "minInstancesPerNode": 10, "stepSize": 0.03, "minInfoGain": 0.0,
-    "subsamplingRate": 0.8, "seed": 2026,
+    "subsamplingRate": 0.8, "seed": 2026, "checkpointInterval": 10,
 }
 UNKNOWN = "unknown"
 
@@ -78,8 +78,11 @@ def fit_gbt(
     """Fit the whole pipeline: index, one-hot with all levels, impute, assemble, drop constants, boost.
 
     An unseen category at prediction time gets the extra index the indexer keeps for it. The training
-    rows are cached while the trees grow; each tree is a pass over them on all executors.
+    rows are cached while the trees grow; each tree is a pass over them on all executors. Every ten
+    trees the running residuals are checkpointed to the shared folder, so the lineage of 800 trees stays
+    short and a lost executor costs at most ten trees.
     """
+    shared_folder(train.sparkSession)
     nominal, numeric = _split_types(train, predictors)
     indexed = [f"{name}_index" for name in nominal]
     encoded = [f"{name}_level" for name in nominal]

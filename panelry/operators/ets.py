@@ -48,7 +48,8 @@ def ets_selection(
 
     Multiplicative forms are tried on series whose values are all positive. Give ``spread`` (a number
     of tasks) when there are fewer series than cores: the gathered rows would otherwise be coalesced
-    into one task. With many series leave it out; no series then travels twice.
+    into one task. With many series leave it out; no series then travels twice. A batch sent to Python
+    holds ``spark.sql.execution.arrow.maxRecordsPerBatch`` series; lower it when series are long.
     """
 
     @F.pandas_udf(FIT_SCHEMA)

@@ -39,7 +39,7 @@ def clean(spark: SparkSession, raw_dir: str, out_dir: str, store_id: str) -> Non
     write_table(fact, f"{out_dir}/sales_complete.parquet")
 
     stored = read_table(spark, f"{out_dir}/sales_complete.parquet")
-    daily = cleaning.daily_category_sales(stored, one_row_per_item=True)
+    daily = cleaning.daily_category_sales(stored)
     write_table(daily, f"{out_dir}/daily_category_sales.csv")
 
 
