@@ -79,8 +79,8 @@ def fit_gbt(
 
     An unseen category at prediction time gets the extra index the indexer keeps for it. The training
     rows are cached while the trees grow; each tree is a pass over them on all executors. Every ten
-    trees the running residuals are checkpointed to the shared folder, so the lineage of 800 trees stays
-    short and a lost executor costs at most ten trees.
+    trees the running predictions are checkpointed to the shared folder, so the lineage of 800 trees
+    stays short when an executor is lost.
     """
     shared_folder(train.sparkSession)
     nominal, numeric = _split_types(train, predictors)
