@@ -28,11 +28,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelry.llm.shared import saved
-from panelry.llm.text_arrays import Hasher, buffers, runs, slices
+from panelry.llm.text_arrays import SLICE_BYTES, Hasher, buffers, parts, runs, slices
 
 LENGTH, LEAD = 50, 24
 #: Text bytes per bucket of the range partition, on average.
 BUCKET_BYTES = 16 << 20
+#: Text bytes that one pass over a batch holds the regions of.
+PART_BYTES = 12 << 20
 SAMPLE_DOCS, SAMPLE_KEYS = 512, 32
 _LAST = 2**63 - 1
 _U = np.uint64
@@ -77,21 +79,22 @@ class Batch:
 
     def __init__(self, texts: pa.Array, splitters: np.ndarray, length: int, lead: int):
         self.data, self.at = buffers(texts)
-        parts = []
+        found = []
         for a, b in slices(self.at):
             r = Regions(self.data[self.at[a] : self.at[b]], self.at[a : b + 1] - self.at[a], length, lead)
-            parts.append((r.owner + a, r.first + self.at[a], r.last + self.at[a], r.key, r.hash))
-        kinds = (np.int64,) * 3 + (np.uint64,) * 2
+            found.append((*((x + y).astype(np.int32) for x, y in ((r.owner, a), (r.first, self.at[a]), (r.last, self.at[a]))), r.key, r.hash))
+        kinds = (np.int32,) * 3 + (np.uint64,) * 2
         self.owner, self.first, self.last, self.key, self.hash = (
-            np.concatenate([np.empty(0, t), *x]) for t, x in zip(kinds, zip(*parts) if parts else [()] * 5)
+            np.concatenate([np.empty(0, t), *x]) for t, x in zip(kinds, zip(*found) if found else [()] * 5)
         )
-        self.bucket = np.searchsorted(splitters, self.key, side="right")
-        cell = self.owner * (len(splitters) + 1) + self.bucket
-        self._order = np.argsort(cell, kind="stable")
+        del found
+        self.bucket = np.searchsorted(splitters, self.key, side="right").astype(np.int32)
+        cell = self.owner.astype(np.int64) * (len(splitters) + 1) + self.bucket
+        self._order = np.argsort(cell, kind="stable").astype(np.int32)
         self._cells = cell[self._order]
         self._buckets = len(splitters) + 1
         heads = np.flatnonzero(np.append(True, self._cells[1:] != self._cells[:-1])) if len(cell) else np.empty(0, np.int64)
-        self.number = np.empty(len(cell), np.int64)
+        self.number = np.empty(len(cell), np.int32)
         self.number[self._order] = runs(np.diff(np.append(heads, len(cell))))
 
     def at_code(self, owner: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -148,7 +151,7 @@ def packed(ids: np.ndarray, tags: np.ndarray, owner: np.ndarray, rest: bytes = b
 
 def unpacked(blobs: list[bytes], names: list[str]) -> tuple[dict[str, np.ndarray], bytes]:
     """All entries of a bucket: id, tag and place of the document, and the named columns; the rest joined."""
-    parts, rests, places = [], [], 0
+    entries, rests, places = [], [], 0
     for blob in blobs:
         n_docs, n = (int(x) for x in np.frombuffer(blob[:16], "<u8"))
         raw, out = memoryview(blob)[16:], {}
@@ -159,9 +162,9 @@ def unpacked(blobs: list[bytes], names: list[str]) -> tuple[dict[str, np.ndarray
         places += n_docs
         for name in names:
             out[name], raw = _unplanes(raw, n, _WIDTHS[name]), raw[_WIDTHS[name] * n :]
-        parts.append(out)
+        entries.append(out)
         rests.append(bytes(raw))
-    return {k: np.concatenate([p[k] for p in parts]) for k in ("id", "tag", "doc", *names)}, b"".join(rests)
+    return {k: np.concatenate([e.pop(k) for e in entries]) for k in ("id", "tag", "doc", *names)}, b"".join(rests)
 
 
 def _lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -186,7 +189,7 @@ _CODES = "doc_id long, tag int, codes array<long>"
 
 def _send_regions(splitters: np.ndarray, length: int, lead: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 2, PART_BYTES)):
             b = Batch(batch.column(2), splitters, length, lead)
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             mine = ids[b.owner]
@@ -258,7 +261,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _send_windows(splitters: np.ndarray, length: int, lead: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 2, PART_BYTES)):
             owner, code = _flat(batch.column(3))
             want = (code & 1) == 1
             b = Batch(batch.column(2), splitters, length, lead)
@@ -317,34 +320,38 @@ def _compare_windows(length: int):
 
 
 def _remove(splitters: np.ndarray, length: int, lead: int, keep_text: bool, carried: int):
+    def cut(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Sizes, removed bytes, runs of removed bytes, and what stays of each text."""
+        owner, code = _flat(batch.column(3))
+        owner, code = owner[(code & 1) == 0], code[(code & 1) == 0]
+        range_owner, window = _flat(batch.column(4))
+        data, at = buffers(batch.column(2))
+        marks = np.zeros(len(data) + 1, np.int32)
+        if len(code):
+            b = Batch(batch.column(2), splitters, length, lead)
+            e = b.at_code(owner, code)
+            np.add.at(marks, b.first[e], 1)
+            np.add.at(marks, b.last[e] + length, -1)
+        np.add.at(marks, at[range_owner] + (window >> 32), 1)
+        np.add.at(marks, at[range_owner] + (window & 0xFFFFFFFF) + length, -1)
+        gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
+        before = np.concatenate(([0], np.cumsum(gone, dtype=np.int32)))
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        inner = at[(at > 0) & (at < len(data))]
+        opens[inner] = gone[inner]
+        spans = np.concatenate(([0], np.cumsum(opens, dtype=np.int32)))
+        n_removed, n_spans = np.diff(before[at]).astype(np.int64), np.diff(spans[at]).astype(np.int64)
+        kept = []
+        for i in range(batch.num_rows):
+            piece = data[at[i] : at[i + 1]]
+            kept.append((piece[~gone[at[i] : at[i + 1]]] if n_removed[i] else piece).tobytes())
+        return np.diff(at), n_removed, n_spans, kept
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            owner, code = _flat(batch.column(3))
-            owner, code = owner[(code & 1) == 0], code[(code & 1) == 0]
-            range_owner, window = _flat(batch.column(4))
-            data, at = buffers(batch.column(2))
-            marks = np.zeros(len(data) + 1, np.int32)
-            if len(code):
-                b = Batch(batch.column(2), splitters, length, lead)
-                e = b.at_code(owner, code)
-                np.add.at(marks, b.first[e], 1)
-                np.add.at(marks, b.last[e] + length, -1)
-            np.add.at(marks, at[range_owner] + (window >> 32), 1)
-            np.add.at(marks, at[range_owner] + (window & 0xFFFFFFFF) + length, -1)
-            gone = np.cumsum(marks[:-1]) > 0
-            before = np.concatenate(([0], np.cumsum(gone)))
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            inner = at[(at > 0) & (at < len(data))]
-            opens[inner] = gone[inner]
-            spans = np.concatenate(([0], np.cumsum(opens)))
-            n_removed, n_spans = np.diff(before[at]), np.diff(spans[at])
-            kept = []
-            for i in range(n):
-                piece = data[at[i] : at[i + 1]]
-                kept.append((piece[~gone[at[i] : at[i + 1]]] if n_removed[i] else piece).tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64))]
+        for batch in (p for b in batches for p in parts(b, 2, SLICE_BYTES)):
+            sizes, n_removed, n_spans, kept = cut(batch)
+            columns = [batch.column(0), batch.column(1), pa.array(sizes), pa.array(n_removed), pa.array(n_spans)]
             if keep_text:
                 columns.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
             else:

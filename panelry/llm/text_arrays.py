@@ -102,6 +102,13 @@ def slices(at: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         first = last
 
 
+def parts(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of at most ``limit`` bytes of a text column, or of one longer text."""
+    _, at = buffers(batch.column(column))
+    for first, last in slices(at, limit):
+        yield batch.slice(first, last - first)
+
+
 def word_spans(data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word of the texts that ``at`` cuts ``data`` into, and how many each text has."""
     n = len(data)
