@@ -32,7 +32,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int =
     """
     named = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = named.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id")))
+    many = {int(r["y"]): int(r["n"]) for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Only about twice the rows that are wanted of a label get as far as its window.
+    draw, scale = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)), 1 << 20
+    most = F.when(F.col("y") == 1, F.lit(size * scale // max(1, many.get(1, 0)))).otherwise(F.lit(size * scale // max(1, many.get(0, 0))))
+    ranked = known.withColumn("draw", draw).where(F.col("draw") < most).withColumn(
+        "n", F.row_number().over(Window.partitionBy("y").orderBy("draw", "doc_id"))
+    )
     chosen = saved(ranked.where(F.col("n") <= size // 2).select("doc_id", "y"), "chosen")
     texts = among(docs.select("doc_id", "text"), chosen, "doc_id").join(chosen, "doc_id")
     return texts.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "y")
