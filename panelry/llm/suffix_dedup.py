@@ -32,9 +32,9 @@ from panelry.llm.text_arrays import SLICE_BYTES, Hasher, buffers, parts, runs, s
 
 LENGTH, LEAD = 50, 24
 #: Text bytes per bucket of the range partition, on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Text bytes that one pass over a batch holds the regions of.
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 SAMPLE_DOCS, SAMPLE_KEYS = 512, 32
 _LAST = 2**63 - 1
 _U = np.uint64
