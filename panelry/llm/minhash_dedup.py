@@ -25,7 +25,7 @@ WORDS = 5
 #: Two documents at 0.85 share no band with a probability of 1e-5.
 BANDS, PERMUTATIONS_PER_BAND = 24, 3
 #: Members of one block of a bucket.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 128
 _RNG = np.random.default_rng(85)
 _PERMUTATIONS = BANDS * PERMUTATIONS_PER_BAND
 _TIMES = _RNG.integers(0, 2**64, _PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
