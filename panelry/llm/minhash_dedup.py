@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelry.llm.shared import among, components, saved
+from panelry.llm.shared import among, components, saved, unused
 from panelry.llm.text_arrays import Hasher, buffers, mix, runs, slices, word_spans
 
 WORDS = 5
@@ -218,5 +218,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     that share a text and have no doc_id."""
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id")
     nameless = F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-    rest = docs.join(gone, "doc_id", "left_anti").withColumn("_nameless", nameless)
-    return rest.dropDuplicates(["doc_id", "_nameless"]).select(*docs.columns)
+    key = unused(docs, "_nameless")
+    rest = docs.join(gone, "doc_id", "left_anti").withColumn(key, nameless)
+    return rest.dropDuplicates(["doc_id", key]).select(*docs.columns)

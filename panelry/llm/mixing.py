@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelry.llm.shared import numbered, saved
+from panelry.llm.shared import numbered, saved, unused
 
 #: The budget, in words, that the knapsack program resolves exactly.
 REACH = 1 << 15
@@ -142,9 +142,10 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5) -> DataFrame:
     """The documents of the mix with all their columns, as many times as the mix takes each."""
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_text", F.xxhash64("text"))
-    mix = mix_sources(marked, weights, share, carry=["_id", "_text"])
-    # Rows alike in id and text are alike for the mix: together they get what it takes of all of them.
-    times = mix.groupBy("_id", "_text").agg(F.sum("times").cast("int").alias("_times")).where("_times > 0")
-    taken = marked.dropDuplicates(["_id", "_text"]).join(times, ["_id", "_text"])
-    return taken.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    row, left, turn = (unused(docs, name) for name in ("_row", "_times", "_turn"))
+    # Rows alike in id, source and text are alike for the mix: together they get what it takes of all of them.
+    alike = F.concat_ws("-", F.hex(F.xxhash64("doc_id", "source", "text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    marked = docs.withColumn(row, alike)
+    times = mix_sources(marked, weights, share, carry=[row]).groupBy(row).agg(F.sum("times").cast("int").alias(left))
+    taken = marked.dropDuplicates([row]).join(times.where(F.col(left) > 0), row)
+    return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(left)))).select(*docs.columns)

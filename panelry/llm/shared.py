@@ -23,6 +23,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def numbered(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], rows: int, name: str = "rank"
 ) -> DataFrame:

@@ -376,7 +376,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep
     are judged on the input. ``kept`` is the sha256 of the remaining bytes, or with ``keep_text`` the
     remaining text without the rests of characters that a cut goes through. A null text is empty. A row
     with a null doc_id comes after all others. Rows that share a doc_id don't remove each other's bytes.
-    Texts shorter than ``length`` stay whole. Other columns are not read, but for those that ``carry`` names to be returned.
+    Texts shorter than ``length`` stay whole. Other columns are not read, but for those that
+    ``carry`` names: they come back with an underscore in front.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
@@ -397,11 +398,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep
     whole = held.join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "codes", "ranges", *extra)
     schema = "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept string" + "".join(f", `{c}` {tagged.schema[c].dataType.simpleString()}" for c in extra)
     out = whole.mapInArrow(_remove(splitters, length, lead, keep_text, len(extra)), schema)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST))).withColumnsRenamed({f"_{c}": c for c in carry})
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with all their columns and the text that ``remove_repeats`` leaves; ``n_chars`` is counted anew."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = remove_repeats(docs, length, keep_text=True, carry=rest).withColumn("text", F.col("kept"))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = remove_repeats(docs, length, keep_text=True, carry=rest)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*[made.get(c, F.col(f"_{c}")).alias(c) for c in docs.columns])

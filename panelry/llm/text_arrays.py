@@ -1,6 +1,6 @@
 """Whole Arrow batches of texts as byte arrays: word spans and 64-bit hashes without Python strings.
 
-A batch is worked through in slices of whole texts of about a megabyte, which bounds the memory of the
+A batch is worked through in slices of whole texts of about half a megabyte, which bounds the memory of the
 helper arrays; a longer text is a slice of its own.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | _U(1)
