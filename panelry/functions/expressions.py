@@ -68,3 +68,8 @@ def iso_week_key(date: str | Column) -> Column:
 def weekday_name(number: str | Column) -> Column:
     """Name of an ISO weekday number."""
     return F.element_at(F.array(*[F.lit(name) for name in ISO_WEEKDAYS]), col(number))
+
+
+def exact(name: str) -> Column:
+    """A number as decimal, so that its sum does not depend on the order of the rows."""
+    return F.col(name).cast("decimal(28,10)")

@@ -1,7 +1,8 @@
 """Parameter search of one exponential-smoothing series: all candidates of all forms at once.
 
-One array operation per day advances every candidate. The search is a grid with shrinking moves, not
-the optimizer of other packages: parameters agree with theirs to the last move, not to all digits.
+One array operation per day advances every candidate. The search is a grid, then moves along every
+quantity and along the last gain, repeated until no form improves and only then halved. Parameters come near
+those of a numerical optimizer, not equal in all digits.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ GRID = {
     "lift": (0.0,), "tilt": (0.0, 1.0),
 }
 AT_REST = {"alpha": 0.0, "slope": 0.0, "cycle": 0.0, "phi": 1.0, "lift": 0.0, "tilt": 0.0}
-MOVES = (0.08, 0.04, 0.02, 0.01, 0.005)
+MOVES = (0.16, 0.08, 0.04, 0.02, 0.01, 0.005, 0.0025)
+LEAST_GAIN = 1e-4  # of AICc, for a move to count as an improvement
 MOVE_SCALE = {"alpha": 1, "slope": 1, "cycle": 1, "phi": 1, "lift": 5, "tilt": 5}
 LIMITS = {
     "alpha": (0.0001, 0.9999), "slope": (0.0001, 0.9999), "cycle": (0.0001, 0.9999), "phi": (0.8, 0.98),
@@ -118,23 +120,35 @@ def fit_series(y: np.ndarray, period: int):
                 owner.append(form)
                 cells.append(cell)
         leaders: dict = {}
-        for move in (*MOVES, None):
+        gains: dict = {}
+
+        def try_out(owner: list, cells: list) -> set:
+            """Run the candidates; the forms whose leader improved."""
             aicc, level, trend, season = run_candidates(y, owner, np.array(cells), period, multiplicative)
+            improved, before = set(), {form: leader[:2] for form, leader in leaders.items()}
             for i, form in enumerate(owner):
                 if form not in leaders or aicc[i] < leaders[form][0]:
                     leaders[form] = (aicc[i], cells[i], level[i], trend[i], season[:, i].copy())
-            if move is None:
-                break
-            owner, cells = [], []
-            for form, leader in leaders.items():
-                for name in searched(form):
-                    at = names.index(name)
-                    for sign in (-1, 1):
-                        cell = list(leader[1])
-                        moved = cell[at] + sign * move * MOVE_SCALE[name]
-                        cell[at] = min(max(moved, LIMITS[name][0]), LIMITS[name][1])
+            for form, (score, cell) in before.items():
+                if leaders[form][0] < score - LEAST_GAIN or not np.isfinite(score) and np.isfinite(leaders[form][0]):
+                    improved.add(form)
+                    gains[form] = np.array(leaders[form][1]) - np.array(cell)
+            return improved
+
+        try_out(owner, cells)
+        for move in MOVES:
+            moving = set(leaders)
+            while moving:
+                owner, cells = [], []
+                for form in sorted(moving):
+                    here = np.array(leaders[form][1])
+                    steps = [np.eye(len(names))[names.index(n)] * s * move * MOVE_SCALE[n] for n in searched(form) for s in (-1, 1)]
+                    steps += [gains[form] * s for s in (1, 2)] if form in gains else []
+                    for step in steps:
+                        cell = [min(max(v, LIMITS[n][0]), LIMITS[n][1]) if n in searched(form) else w for n, v, w in zip(names, here + step, here)]
                         owner.append(form)
                         cells.append(tuple(cell))
+                moving = try_out(owner, cells)
         for form, (score, cell, level, trend, season) in leaders.items():
             if np.isfinite(score) and (best is None or score < best[1]):
                 # Rotate the season so that its first entry belongs to the first forecast day.

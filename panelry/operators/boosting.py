@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,6 +25,9 @@ SETTINGS = {
     "subsamplingRate": 0.8, "seed": 2026, "checkpointInterval": 10,
 }
 UNKNOWN = "unknown"
+FILLED = "_filled"
+#: Training rows of one task; few small tasks keep the many short jobs of the trees cheap.
+TASK_ROWS = 100_000
 
 
 def gbt_predictors(features: DataFrame, candidates: Sequence[str] = tuple(PREDICTORS)) -> list[str]:
@@ -46,26 +49,26 @@ def _model_frame(df: DataFrame, predictors: Sequence[str]) -> DataFrame:
     return df.withColumns(columns)
 
 
-def median_imputed_features(train: DataFrame, predictors: Sequence[str], median_error: float = 0.0) -> DataFrame:
-    """Numeric predictors with nulls replaced by the training median (the lower middle value).
-
-    An error of 0 is exact and keeps every distinct value while it counts; a positive rank error
-    bounds the memory on very large training tables.
-    """
+def training_medians(train: DataFrame, predictors: Sequence[str]) -> dict[str, float]:
+    """The exact median of each numeric predictor, from one aggregate; a predictor that is always null has none."""
     _, numeric = _split_types(train, predictors)
-    frame = _model_frame(train, predictors)
-    return _imputer(numeric, median_error).fit(frame).transform(frame)
+    row = train.agg(*[F.median(F.col(name).cast("double")).alias(name) for name in numeric]).first()
+    return {name: row[name] for name in numeric if row[name] is not None}
 
 
-def _imputer(numeric: list[str], error: float) -> Imputer:
-    return Imputer(strategy="median", relativeError=error, inputCols=numeric, outputCols=numeric)
+def median_imputed_features(train: DataFrame, predictors: Sequence[str]) -> DataFrame:
+    """Numeric predictors with nulls replaced by the training median, as the model sees them; always-null ones are gone."""
+    medians, (_, numeric) = training_medians(train, predictors), _split_types(train, predictors)
+    frame = _model_frame(train, predictors).drop(*[name for name in numeric if name not in medians])
+    return frame.withColumns({name: F.coalesce(F.col(name), F.lit(value)) for name, value in medians.items()})
 
 
 def zero_variance_columns(train: DataFrame, predictors: Sequence[str]) -> DataFrame:
-    """Whether each numeric predictor never changes in training, from one aggregate over the table."""
-    _, numeric = _split_types(train, predictors)
-    fixed = train.agg(*[F.min(name).eqNullSafe(F.max(name)).alias(name) for name in numeric])
-    return fixed.unpivot([], numeric, "feature", "is_constant")
+    """Whether each numeric predictor never changes in training once imputed, from one aggregate over the table."""
+    medians = training_medians(train, predictors)
+    imputed = median_imputed_features(train, predictors)
+    fixed = imputed.agg(*[(F.min(name) == F.max(name)).alias(name) for name in medians])
+    return fixed.unpivot([], list(medians), "feature", "is_constant")
 
 
 def fit_gbt(
@@ -73,33 +76,38 @@ def fit_gbt(
     predictors: Sequence[str],
     target: str = "units_sold",
     trees: int | None = None,
-    median_error: float = 0.001,
 ) -> PipelineModel:
     """Fit the whole pipeline: index, one-hot with all levels, impute, assemble, drop constants, boost.
 
+    Numeric predictors that are always null are left out.
+
     An unseen category at prediction time gets the extra index the indexer keeps for it. The training
     rows are cached while the trees grow; each tree is a pass over them on all executors. Every ten
     trees the running predictions are checkpointed to the shared folder, so the lineage of 800 trees
     stays short when an executor is lost.
     """
     shared_folder(train.sparkSession)
-    nominal, numeric = _split_types(train, predictors)
+    nominal, _ = _split_types(train, predictors)
+    medians = training_medians(train, predictors)
+    filled = {name: f"{name}{FILLED}" for name in medians}
     indexed = [f"{name}_index" for name in nominal]
     encoded = [f"{name}_level" for name in nominal]
     stages = []
     if nominal:
         stages.append(StringIndexer(inputCols=nominal, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=False, handleInvalid="keep"))
+    imputed = ", ".join(f"coalesce(`{name}`, cast('{value!r}' as double)) as `{filled[name]}`" for name, value in medians.items())
     stages += [
-        _imputer(numeric, median_error),
-        VectorAssembler(inputCols=encoded + numeric, outputCol="all_features"),
+        SQLTransformer(statement=f"select *{', ' if imputed else ''}{imputed} from __THIS__"),
+        VectorAssembler(inputCols=encoded + list(filled.values()), outputCol="all_features"),
         VarianceThresholdSelector(varianceThreshold=0.0, featuresCol="all_features", outputCol="features"),
         GBTRegressor(
             featuresCol="features", labelCol=target, predictionCol="_prediction",
             **{**SETTINGS, **({"maxIter": trees} if trees else {})},
         ),
     ]
-    frame = _model_frame(train, predictors).select(*predictors, F.col(target).cast("double").alias(target)).cache()
+    frame = _model_frame(train, predictors).select(*predictors, F.col(target).cast("double").alias(target))
+    frame = frame.coalesce(frame.count() // TASK_ROWS + 1).cache()
     try:
         return Pipeline(stages=stages).fit(frame)
     finally:
@@ -123,7 +131,7 @@ def _feature_names(model: PipelineModel, frame: DataFrame) -> list[str]:
     schema = model.transform(frame.limit(0)).schema["all_features"].metadata["ml_attr"]["attrs"]
     attributes = sorted((a for group in schema.values() for a in group), key=lambda a: a["idx"])
     selector = next(stage for stage in model.stages if hasattr(stage, "selectedFeatures"))
-    return [attributes[i]["name"].replace("_level_", "_") for i in selector.selectedFeatures]
+    return [attributes[i]["name"].removesuffix(FILLED).replace("_level_", "_") for i in selector.selectedFeatures]
 
 
 def gbt_importance(model: PipelineModel, train: DataFrame, predictors: Sequence[str]) -> DataFrame:

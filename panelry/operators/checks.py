@@ -36,9 +36,9 @@ def check_split(train: DataFrame, test: DataFrame, horizon: int, key: str = "cat
     check_empty(split.where("train_overlap"), "training and holdout rows overlap")
 
 
-def check_forecasts(errors: DataFrame, models: int, horizon: int) -> None:
+def check_forecasts(errors: DataFrame, test: DataFrame, models: int) -> None:
     """Every model has a forecast and an actual for every series and holdout day."""
-    found = forecast_validation(errors, models, horizon)
+    found = forecast_validation(errors, test, models)
     check_empty(found.where("rows <> expected_rows"), "unexpected number of forecast rows")
     check_empty(found.where("missing_actual > 0"), "forecasts without actual demand")
     check_empty(found.where("missing_predicted > 0"), "missing predictions")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelry.functions.expressions import WEEKEND, flag, is_in, missing, percent_where, total, weighted_mean
+from panelry.functions.expressions import WEEKEND, exact, flag, is_in, missing, percent_where, total, weighted_mean
 
 # The keys of the daily roll-up.
 DAILY_KEYS = [
@@ -17,11 +17,17 @@ DAILY_KEYS = [
 
 
 def snake_columns(df: DataFrame) -> DataFrame:
-    """Rename every column to snake_case; repeated names get a number."""
+    """Rename every column to snake_case; repeated names get a number.
+
+    ``%`` and ``#`` become words, runs of capitals end before the last (``HTTPCode`` is ``http_code``), and a name
+    that starts with a digit or is empty gets an ``x`` in front.
+    """
     names: list[str] = []
     for original in df.columns:
-        split = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", original)
+        worded = original.replace("%", "_percent_").replace("#", "_number_")
+        split = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", worded)
         base = re.sub(r"[^0-9a-z]+", "_", split.lower()).strip("_")
+        base = base if base[:1].isalpha() else f"x{base}"
         name, copies = base, 1
         while name in names:
             copies += 1
@@ -31,7 +37,7 @@ def snake_columns(df: DataFrame) -> DataFrame:
 
 
 def scope_store(df: DataFrame, store_id: str) -> DataFrame:
-    """Keep one store. Apply it before a reshape: the predicate then reaches the scan."""
+    """Keep one store. Apply it before a reshape or roll-up, so that no other store is shuffled."""
     return df.where(F.col("store_id") == store_id)
 
 
@@ -195,7 +201,7 @@ def product_summary(df: DataFrame, days: int | Column | None = None) -> DataFram
     keys = ["item_id", "dept_id", "cat_id"]
     known = F.col("sales").isNotNull()
     values = df.groupBy(*keys, "sales").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("sell_price").alias("price_sum"), F.count("sell_price").alias("price_n")
+        F.count(F.lit(1)).alias("n"), F.sum(exact("sell_price")).alias("price_sum"), F.count("sell_price").alias("price_n")
     )
     product = Window.partitionBy(*keys)
     seen = F.sum(F.when(known, F.col("n"))).over(product)
@@ -225,5 +231,5 @@ def product_summary(df: DataFrame, days: int | Column | None = None) -> DataFram
         ((at(low) + at(high)) / 2).alias("median_daily_sales"),
         F.try_divide(zero * 100.0, rows).alias("zero_sales_pct"),
         active.cast("long").alias("active_days"),
-        F.try_divide(F.sum("price_sum"), F.sum("price_n")).alias("average_price"),
+        F.try_divide(F.sum("price_sum").cast("double"), F.sum("price_n")).alias("average_price"),
     )

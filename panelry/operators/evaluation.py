@@ -82,12 +82,15 @@ def forecast_errors(forecasts: DataFrame, test: DataFrame, target: str = "units_
     )
 
 
-def forecast_validation(errors: DataFrame, models: int, horizon: int) -> DataFrame:
-    """One row: expected and actual row counts and the number of missing actuals and predictions."""
-    expected = F.count_distinct("cat_id") * horizon * models
+def forecast_validation(errors: DataFrame, test: DataFrame, models: int) -> DataFrame:
+    """One row: expected and actual row counts and the number of missing actuals and predictions.
+
+    Every row of the test set is expected once per model, so a series without any forecast shows.
+    """
+    expected = test.agg(F.count(F.lit(1))).scalar() * models
     return errors.agg(
         F.count(F.lit(1)).alias("rows"),
-        expected.alias("expected_rows"),
+        F.max(expected).alias("expected_rows"),
         F.count_if(F.col("actual").isNull()).alias("missing_actual"),
         F.count_if(F.col("predicted").isNull()).alias("missing_predicted"),
     )

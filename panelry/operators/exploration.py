@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelry.functions.expressions import percent_where
+from panelry.functions.expressions import exact, percent_where
 from panelry.sources.io import materialize
 
 
@@ -79,7 +79,7 @@ def price_demand_curve(fact: DataFrame, width: float) -> DataFrame:
         .groupBy(F.floor(F.col("sell_price") / width).cast("long").alias("price_bin"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.avg("sell_price").alias("average_price"),
+            (F.sum(exact("sell_price")).cast("double") / F.count(F.lit(1))).alias("average_price"),
             F.avg("sales").alias("average_units"),
         )
     )

@@ -71,7 +71,8 @@ def densify(
     """
     series = Window.partitionBy(*keys).orderBy("date")
     start = F.when(F.lag("date").over(series).isNull(), F.least(first_day, F.col("date"))).otherwise(F.col("date"))
-    stop = F.coalesce(F.date_sub(F.lead("date").over(series), 1), F.greatest(last_day, F.col("date")))
+    until = F.coalesce(F.date_sub(F.lead("date").over(series), 1), F.greatest(last_day, F.col("date")))
+    stop = F.greatest(until, F.col("date"))  # a repeated day ends on itself
     filled = df.withColumns({"_start": start, "_stop": stop}).select(
         *df.columns, F.explode(F.sequence("_start", "_stop")).alias("_day")
     )
@@ -121,7 +122,8 @@ def event_calendar(panel: DataFrame) -> DataFrame:
     event_day = F.when(F.col("is_event") == 1, F.col("date"))
     by_date = Window.orderBy("date")
     last_event = F.last(event_day, ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, 0))
-    next_event = F.first(event_day, ignorenulls=True).over(by_date.rowsBetween(0, Window.unboundedFollowing))
+    backwards = Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+    next_event = F.min(event_day).over(backwards)
     since, until = F.col("days_since_event"), F.col("days_until_event")
 
     def within(days: int) -> Column:

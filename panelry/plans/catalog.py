@@ -18,21 +18,17 @@ DATE_FROM, DATE_TO = "1996-01-01", "1999-12-31"
 CATEGORY = "PROMO"
 STORE = "NATION_3"
 SELECTED = 100
-TREES = 20
 HISTORY_FEATURE = "rolling_mean_7"
 PRICE_WIDTH = 100.0
 MONEY = {"revenue", "total_revenue", "metric_value"}
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles (money sums to cents), so that results do not depend on the order of summation.
-
-    The small nudge moves values off exact decimal ties, which engines round in different directions.
-    """
+    """Round doubles (money sums to cents), so that results do not depend on the order of summation."""
 
     def rounded(name: str):
         places = 2 if name in MONEY else digits
-        return (F.round(F.col(name) + 1e-9, places) + F.lit(0.0)).alias(name)
+        return (F.round(F.col(name), places) + F.lit(0.0)).alias(name)
 
     return df.select(*[rounded(name) if kind == "double" else F.col(name) for name, kind in df.dtypes])
 
@@ -66,7 +62,7 @@ def ready_features(spark, d):
 
 
 def filtered_features(spark, d):
-    return reports.filter_panel(ready_features(spark, d), DATE_FROM, DATE_TO, CATEGORY)
+    return reports.filter_panel(ready_features(spark, d), category=CATEGORY)
 
 
 def product_sales(spark, d):
@@ -118,11 +114,18 @@ def ranked_errors(spark, d):
     )
 
 
+#: Boosted models of this run, by application and tables: forecast, importance and metrics derive from one fit.
+_FITTED: dict = {}
+
+
 def fitted_gbt(spark, d):
-    stored = stored_features(spark, d)
-    train, test = evaluation.train_test_split(stored, HORIZON)
-    names = boosting.gbt_predictors(stored)
-    return boosting.fit_gbt(train, names, trees=TREES), train, test, names
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        stored = stored_features(spark, d)
+        train, test = evaluation.train_test_split(stored, HORIZON)
+        names = boosting.gbt_predictors(stored)
+        _FITTED[key] = boosting.fit_gbt(train, names), train, test, names
+    return _FITTED[key]
 
 
 def parallel(spark):
@@ -141,8 +144,8 @@ def _round_trip(spark, d, fmt):
 
 
 def _duplicate_rows(spark, d):
-    """Repeated rows of the sales lines without their line keys."""
-    return cleaning.duplicate_rows(retail.table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_returnflag"))
+    """Repeated whole rows of the sales lines."""
+    return cleaning.duplicate_rows(retail.table(spark, d, "lineitem"))
 
 
 def _train_test_split(spark, d):
@@ -209,10 +212,7 @@ def _gbt_importance(spark, d):
 
 def _all_models(spark, d):
     """The whole forecasting run: three models, one metric table."""
-    stored = stored_features(spark, d)
-    train, test = evaluation.train_test_split(stored, HORIZON)
-    names = boosting.gbt_predictors(stored)
-    model = boosting.fit_gbt(train, names, trees=TREES)
+    model, train, test, names = fitted_gbt(spark, d)
     forecasts = [
         naive.seasonal_naive_forecast(train, HORIZON),
         ets.ets_forecast(ets.ets_selection(train, spread=parallel(spark)), HORIZON),
@@ -249,8 +249,9 @@ def _join_calendar(spark, d):
 
 
 def _join_prices(spark, d):
-    keyed = retail.lines(spark, d).groupBy("store_id", "item_id", "date").agg(F.sum("units").alias("sales"))
-    keyed = keyed.withColumn("wm_yr_wk", retail.iso_week_key("date"))
+    rolled = retail.numbered_lines(spark, d).groupBy("store_no", "item_id", "date").agg(F.sum("units").alias("sales"))
+    named = rolled.join(retail.stores(spark, d), "store_no").select("store_id", "item_id", "date", "sales")
+    keyed = named.withColumn("wm_yr_wk", retail.iso_week_key("date"))
     return tidy(cleaning.join_prices(keyed, retail.prices(spark, d)))
 
 
@@ -267,7 +268,7 @@ QUERIES: dict[str, Query] = {
     "unpivot_daily_sales": _unpivot,
     "history_feature_long": lambda s, d: tidy(reports.history_feature_long(filtered_features(s, d), HISTORY_FEATURE)),
     # filters
-    "scope_store": lambda s, d: tidy(cleaning.scope_store(fact(s, d), STORE)),
+    "scope_store": lambda s, d: tidy(cleaning.scope_store(retail.sales_fact(s, d, STORE), STORE)),
     "price_demand_points": lambda s, d: tidy(exploration.price_demand_points(fact(s, d))),
     "filter_panel": lambda s, d: tidy(reports.filter_panel(panel(s, d), DATE_FROM, DATE_TO, CATEGORY)),
     "model_ready": lambda s, d: tidy(ready_features(s, d).select("date", "cat_id", "units_sold", "lag_28", "rolling_mean_28", "has_complete_sales_history")),
@@ -282,7 +283,10 @@ QUERIES: dict[str, Query] = {
     # cleaning and validation
     "missing_summary": lambda s, d: cleaning.missing_summary(retail.calendar(s, d)),
     "missing_summary_sales": lambda s, d: cleaning.missing_summary(fact(s, d)),
+    "missing_summary_prices": lambda s, d: cleaning.missing_summary(retail.prices(s, d)),
     "duplicate_rows": _duplicate_rows,
+    "duplicate_rows_calendar": lambda s, d: cleaning.duplicate_rows(retail.calendar(s, d)),
+    "duplicate_rows_prices": lambda s, d: cleaning.duplicate_rows(retail.prices(s, d)),
     "sales_profile": lambda s, d: cleaning.sales_profile(fact(s, d)),
     "price_missing_summary": lambda s, d: tidy(cleaning.price_missing_summary(fact(s, d))),
     "price_missing_by_month": lambda s, d: tidy(cleaning.price_missing_by_month(fact(s, d))),
@@ -297,7 +301,7 @@ QUERIES: dict[str, Query] = {
     "series_validation": lambda s, d: evaluation.series_validation(stored_features(s, d)),
     "series_agreement": _series_agreement,
     "split_validation": _split_validation,
-    "forecast_validation": lambda s, d: evaluation.forecast_validation(naive_errors(s, d), len(SEASONS), HORIZON),
+    "forecast_validation": lambda s, d: evaluation.forecast_validation(naive_errors(s, d), evaluation.train_test_split(stored_units(s, d), HORIZON)[1], len(SEASONS)),
     "forecast_metadata": _metadata,
     # exploration
     "daily_total": lambda s, d: tidy(exploration.daily_total(panel(s, d))),
@@ -349,7 +353,7 @@ QUERIES: dict[str, Query] = {
     "weekday_average": lambda s, d: tidy(reports.weekday_average(panel(s, d))),
     "month_average": lambda s, d: tidy(reports.month_average(panel(s, d))),
     "key_findings": lambda s, d: reports.key_findings(panel(s, d)),
-    "demand_trend": lambda s, d: tidy(reports.demand_trend(reports.filter_panel(panel(s, d), DATE_FROM, DATE_TO), "revenue")),
+    "demand_trend": lambda s, d: tidy(reports.demand_trend(panel(s, d), "revenue")),
     "monthly_category_trend": lambda s, d: reports.monthly_category_trend(panel(s, d)),
     "event_lift": lambda s, d: tidy(reports.event_lift(panel(s, d))),
     "intermittency_histogram": lambda s, d: exploration.intermittency_histogram(products(s, d)),
@@ -359,7 +363,7 @@ QUERIES: dict[str, Query] = {
     "iso_weekday_average": lambda s, d: tidy(reports.iso_weekday_average(filtered_features(s, d))),
     "event_proximity_effect": lambda s, d: tidy(reports.event_proximity_effect(filtered_features(s, d))),
     "feature_missingness": lambda s, d: tidy(features.feature_missingness(ready_features(s, d), reports.MISSINGNESS_FEATURES)),
-    "feature_table": lambda s, d: tidy(reports.feature_table(filtered_features(s, d), digits=None), digits=2),
+    "feature_table": lambda s, d: reports.feature_table(filtered_features(s, d)),
     "feature_kpis": _feature_kpis,
     "filter_choices": lambda s, d: reports.filter_choices(naive_errors(s, d), ("cat_id", "model")),
     "filter_forecasts": lambda s, d: tidy(reports.filter_forecasts(naive_errors(s, d), CATEGORY, MODELS)),

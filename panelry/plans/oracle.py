@@ -13,6 +13,8 @@ from panelry.plans.catalog import (
 UNITS = "case when l_returnflag <> 'R' then l_quantity else 0.0 end"
 DAY = "cast(l_shipdate as date)"
 
+PRICE_MEAN = "cast(sum(cast(sell_price as decimal(28, 10))) as double) / count(sell_price) average_price"
+
 VIEWS = {
     "lines": f"""
         select n_name store_id, r_name state_id, l_partkey item_id, {DAY} as date, {UNITS} units,
@@ -66,10 +68,19 @@ VIEWS = {
                count(distinct case when sales > 0 then item_id end) active_items
         from fact group by all""",
     "categories": "select distinct cat_id from cat_daily",
+    "price_changes": """
+        select cat_id, wm_yr_wk, sum(cents - coalesce(earlier, 0)) rise, count_if(earlier is null) new from
+          (select item_id, wm_yr_wk, cast(round(sell_price * 100) as bigint) cents,
+                  lag(cast(round(sell_price * 100) as bigint)) over (partition by item_id order by wm_yr_wk) earlier
+           from item_prices) join products using (item_id) group by all""",
+    "on_record": """
+        select cat_id, w.wm_yr_wk, sum(rise) / nullif(sum(new), 0) / 100 average_price
+        from (select distinct wm_yr_wk from week) w join price_changes c on c.wm_yr_wk < w.wm_yr_wk group by all""",
     "panel": """
-        select f.*, cat_id, coalesce(units_sold, 0) units_sold, coalesce(revenue, 0) revenue, average_price,
+        select f.*, cat_id, coalesce(units_sold, 0) units_sold, coalesce(revenue, 0) revenue, r.average_price,
                coalesce(active_items, 0) active_items
-        from flagged f cross join categories left join cat_daily using (cat_id, date)""",
+        from flagged f cross join categories left join cat_daily using (cat_id, date)
+             left join on_record r using (cat_id, wm_yr_wk)""",
     "event_fill": """
         select date, is_event,
                last_value(case when is_event = 1 then date end ignore nulls)
@@ -176,7 +187,7 @@ VIEWS["prod_features"] = f"""
       from product_sales p left join events e using (date))"""
 VIEWS["pfeatures"] = "select * from prod_features where has_complete_sales_history = 1"
 VIEWS["picked"] = (
-    f"select * from features where date between date '{DATE_FROM}' and date '{DATE_TO}' and cat_id = '{CATEGORY}'"
+    f"select * from features where cat_id = '{CATEGORY}'"
 )
 VIEWS["cutoff"] = f"select cast(max(date) - {HORIZON - 1} as date) test_from from panel"
 VIEWS["train"] = "select panel.* from panel cross join cutoff where date < test_from"
@@ -228,8 +239,8 @@ def percent(name: str) -> str:
 def sql(select: str, six: str = "", two: str = "") -> str:
     """A full statement: all views, then ``select`` with the named columns rounded to 6 or 2 decimals as ``tidy`` does."""
     views = ", ".join(f"{name} as ({text})" for name, text in VIEWS.items())
-    rounded = [f"round({c} + 1e-9, 6) + 0.0 as {c}" for c in six.split()]
-    rounded += [f"round({c} + 1e-9, 2) + 0.0 as {c}" for c in two.split()]
+    rounded = [f"round({c}, 6) + 0.0 as {c}" for c in six.split()]
+    rounded += [f"round({c}, 2) + 0.0 as {c}" for c in two.split()]
     replace = f"replace ({', '.join(rounded)})" if rounded else ""
     return f"with {views}, result as ({select}) select * {replace} from result"
 
@@ -320,9 +331,11 @@ ORACLES: dict[str, str] = {
     "event_calendar": sql("select * from events"),
     "missing_summary": sql(missing_sql("cal", CALENDAR_COLUMNS)),
     "missing_summary_sales": sql(missing_sql("fact", FACT_COLUMNS)),
+    "missing_summary_prices": sql(missing_sql("prices", ["store_id", "item_id", "wm_yr_wk", "sell_price"])),
     "duplicate_rows": """
-        select cast(coalesce(sum(n - 1), 0) as bigint) duplicate_rows from
-          (select count(*) n from lineitem group by l_partkey, l_shipdate, l_returnflag)""",
+        select cast((select count(*) from lineitem) - (select count(*) from (select distinct * from lineitem)) as bigint) duplicate_rows""",
+    "duplicate_rows_calendar": sql("select cast((select count(*) from cal) - (select count(*) from (select distinct * from cal)) as bigint) duplicate_rows"),
+    "duplicate_rows_prices": sql("select cast((select count(*) from prices) - (select count(*) from (select distinct * from prices)) as bigint) duplicate_rows"),
     "sales_profile": sql(
         """select count(*) as rows, count(distinct item_id) items, count(distinct store_id) stores, min(date) min_date,
                   max(date) max_date, cast(count_if(date is null) as bigint) missing_dates,
@@ -364,7 +377,7 @@ ORACLES: dict[str, str] = {
         f"""select cat_id, count(*) test_rows, count(*) = {HORIZON} fills_horizon,
                    (select max(date) from train) >= min(date) train_overlap from test group by cat_id"""),
     "forecast_validation": sql(
-        f"""select count(*) as rows, count(distinct cat_id) * {HORIZON * len(SEASONS)} expected_rows,
+        f"""select count(*) as rows, (select count(*) from test) * {len(SEASONS)} expected_rows,
                    cast(count_if(actual is null) as bigint) missing_actual,
                    cast(count_if(predicted is null) as bigint) missing_predicted from errors"""),
     "forecast_metadata": sql(
@@ -387,13 +400,13 @@ ORACLES: dict[str, str] = {
     "event_effect": sql(EFFECT.format("is_event", "Event", "event", "event_status"), "average_units"),
     "snap_effect": sql(EFFECT.format("snap_ca", "SNAP", "SNAP", "snap_status"), "average_units"),
     "price_demand_curve": sql(
-        f"""select cast(floor(sell_price / {PRICE_WIDTH}) as bigint) price_bin, count(*) as rows, avg(sell_price) average_price,
+        f"""select cast(floor(sell_price / {PRICE_WIDTH}) as bigint) price_bin, count(*) as rows, {PRICE_MEAN},
                    avg(sales) average_units from fact where sell_price is not null group by 1""", "average_price average_units"),
     "price_demand_fit": sql(LINEAR.format(y="sales", x="sell_price", view="fact"), "slope intercept r2"),
     "product_totals": sql(f"{BIG_TOTALS} order by total_sales desc, item_id limit 20"),
     "product_summary": sql(
-        """select t.* exclude (average_price), p.average_price
-           from product_table t join (select item_id, avg(sell_price) average_price from product_values group by 1) p
+        f"""select t.* exclude (average_price), p.average_price
+           from product_table t join (select item_id, {PRICE_MEAN} from product_values group by 1) p
              using (item_id)""",
         "average_daily_sales median_daily_sales zero_sales_pct average_price"),
     "top_products": sql(
@@ -415,14 +428,15 @@ ORACLES: dict[str, str] = {
         f"select date, units_sold, {', '.join(PREDICTORS)} from features", f"{CYCLIC} average_price price_relative_to_28_day_mean"),
     "median_imputed_features": sql(
         """select date, cat_id,
-                  coalesce(average_price, (select quantile_disc(average_price, 0.5) from tr)) average_price,
+                  coalesce(average_price, (select median(average_price) from tr)) average_price,
                   coalesce(price_relative_to_28_day_mean,
-                           (select quantile_disc(price_relative_to_28_day_mean, 0.5) from tr)) price_relative_to_28_day_mean
+                           (select median(price_relative_to_28_day_mean) from tr)) price_relative_to_28_day_mean
            from tr""".replace("from tr", "from (select f.* from features f cross join cutoff where f.date < test_from)"),
         "average_price price_relative_to_28_day_mean"),
     "zero_variance_columns": sql(
         " union all ".join(
-            f"select '{n}' feature, count(distinct {n}) + max(cast({n} is null as int)) = 1 is_constant from tr"
+            f"""select '{n}' feature, count(distinct coalesce({n}, (select median({n}) from tr))) = 1 is_constant
+                from tr having count({n}) > 0"""
             for n in PREDICTORS if n != "cat_id"
         ).replace("from tr", "from (select f.* from features f cross join cutoff where f.date < test_from)")),
     "forecast_errors": sql("select * from errors", ERROR_COLUMNS),
@@ -450,7 +464,7 @@ ORACLES: dict[str, str] = {
            (select 'peak_day', strftime(date, '%B %d, %Y'), sum(units_sold) units from panel group by date
             order by units desc, date limit 1)"""),
     "demand_trend": sql(
-        f"select date, cat_id, coalesce(sum(revenue), 0) metric_value from panel where {IN_RANGE} group by date, cat_id",
+        f"select date, cat_id, coalesce(sum(revenue), 0) metric_value from panel group by date, cat_id",
         "", "metric_value"),
     "monthly_category_trend": sql(
         "select cast(date_trunc('month', date) as date) year_month, cat_id, sum(units_sold) total_units from panel group by all"),

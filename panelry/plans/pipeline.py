@@ -92,7 +92,7 @@ def forecast(
     ]
     write_table(evaluation.all_forecasts(forecasts, test), f"{out_dir}/forecast_errors.parquet")
     errors = read_table(spark, f"{out_dir}/forecast_errors.parquet")
-    checks.check_forecasts(errors, len(forecasts), HORIZON)
+    checks.check_forecasts(errors, test, len(forecasts))
 
     metrics = evaluation.all_model_metrics(errors)
     rankings = evaluation.model_rankings(evaluation.category_model_metrics(errors))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -76,9 +78,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of this process in the shared folder, to be deleted when it ends.
+_WRITTEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/panelry-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. It goes when the process ends, or earlier with ``clean_up``."""
+    if not _WRITTEN:
+        atexit.register(clean_up)
+    path = f"{shared_folder(spark).rstrip('/')}/panelry-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clean_up() -> None:
+    """Delete what this process wrote to the shared folder. DataFrames that still read it fail afterwards."""
+    context = SparkContext._active_spark_context
+    while _WRITTEN and context is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -56,15 +56,18 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, sf_dir: str, store: str | None = None) -> DataFrame:
     """One row per sales line: store number, item, date, net units and the unit price of a kept line.
 
     The store travels as a number; names are attached after a roll-up, so that no shuffle carries them.
-    Prices are in whole cents.
+    With ``store``, lines of other stores go before any roll-up. Prices are in whole cents.
     """
     kept = F.col("l_returnflag") != "R"
     cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("store_no"))
+    if store is not None:
+        wanted = table(spark, sf_dir, "nation").where(F.col("n_name") == store).select(F.col("n_nationkey").alias("store_no"))
+        suppliers = suppliers.join(wanted, "store_no", "left_semi")
     return (
         table(spark, sf_dir, "lineitem")
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -155,19 +158,19 @@ def weekly_price(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("sell_price", F.max("unit_price").over(week)).drop("unit_price")
 
 
-def item_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def item_days(spark: SparkSession, sf_dir: str, store: str | None = None) -> DataFrame:
     """One row per store, item and day. After this no item has more rows than stores × days."""
     return (
-        numbered_lines(spark, sf_dir)
+        numbered_lines(spark, sf_dir, store)
         .groupBy("store_no", "item_id", "date")
         .agg(F.sum("units").alias("sales"), F.max("unit_price").alias("unit_price"))
         .join(products(spark, sf_dir), "item_id")
     )
 
 
-def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned fact table: item-store days with calendar, price, flags and revenue."""
-    joined = join_calendar(item_days(spark, sf_dir), calendar(spark, sf_dir), on="date")
+def sales_fact(spark: SparkSession, sf_dir: str, store: str | None = None) -> DataFrame:
+    """The cleaned fact table, of one store or of all: item-store days with calendar, price, flags and revenue."""
+    joined = join_calendar(item_days(spark, sf_dir, store), calendar(spark, sf_dir), on="date")
     priced = weekly_price(joined, "store_no", "item_id")
     return add_row_flags(priced.join(stores(spark, sf_dir), "store_no").drop("store_no"))
 
@@ -192,13 +195,42 @@ def sales_wide(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("state
     return rows.selectExpr(*keys, *[f"_values[{n}] as d_{n + 1}" for n in range(days)])
 
 
+def recorded_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sum of the items' prices on record (in cents) and the number of priced items change, per category and week.
+
+    An item's price of a week is the highest of its kept lines, and stays on record until a later week has one.
+    """
+    items = product_days(spark, sf_dir).where(F.col("unit_price").isNotNull())
+    weekly = items.groupBy("item_id", "cat_id", iso_week_key("date").alias("wm_yr_wk")).agg(
+        F.round(F.max("unit_price") * 100).cast("long").alias("_cents")
+    )
+    before = F.lag("_cents").over(Window.partitionBy("item_id").orderBy("wm_yr_wk"))
+    return (
+        weekly.withColumn("_before", before).groupBy("cat_id", "wm_yr_wk")
+        .agg(F.sum(F.col("_cents") - F.coalesce("_before", F.lit(0))).alias("_rise"), F.count_if(F.col("_before").isNull()).alias("_new"))
+    )
+
+
+def with_recorded_price(panel: DataFrame, changes: DataFrame) -> DataFrame:
+    """Adds ``average_price``: the plain mean of the prices on record from earlier weeks.
+
+    No sale of the day, nor of its week, moves it; it is null until an item of the category has been on sale.
+    """
+    first_of_week = F.row_number().over(Window.partitionBy("cat_id", "wm_yr_wk").orderBy("date")) == 1
+    earlier = Window.partitionBy("cat_id").orderBy("wm_yr_wk").rangeBetween(Window.unboundedPreceding, -1)
+    joined = panel.withColumn("_first", first_of_week).join(changes, ["cat_id", "wm_yr_wk"], "left")
+    once = lambda name: F.sum(F.when(F.col("_first"), F.col(name))).over(earlier)
+    return joined.withColumn("average_price", F.try_divide(once("_rise"), once("_new")) / 100).drop("_first", "_rise", "_new")
+
+
 def category_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense category × day panel over all stores, with calendar columns."""
+    """Dense category × day panel over all stores, with calendar columns and the price on record."""
     days = calendar(spark, sf_dir)
     daily = daily_category_sales(sales_fact(spark, sf_dir), keys=["date", "cat_id"])
     lo, hi = date_bounds(spark, sf_dir)
-    dense = densify(daily, ["cat_id"], lo, hi, zero=["units_sold", "revenue", "active_items"], null=["average_price"])
-    return add_row_flags(join_calendar(dense, days, on="date"), revenue=False)
+    dense = densify(daily.drop("average_price"), ["cat_id"], lo, hi, zero=["units_sold", "revenue", "active_items"])
+    dated = join_calendar(dense, days, on="date")
+    return add_row_flags(with_recorded_price(dated, recorded_prices(spark, sf_dir)), revenue=False)
 
 
 def product_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,9 @@ def test_published_naive_metrics(spark):
     train = [(d, c, float(v)) for c, week in PUBLISHED_NAIVE.items() for d, v in zip(before, week)]
     test = [(d, c, float(v)) for c, values in PUBLISHED_DEMAND.items() for d, v in zip(days, values)]
     forecasts = naive.seasonal_naive_forecast(spark.createDataFrame(train, schema), 28)
-    errors = evaluation.all_forecasts([forecasts], spark.createDataFrame(test, schema))
-    checks.check_forecasts(errors, 1, 28)
+    holdout = spark.createDataFrame(test, schema)
+    errors = evaluation.all_forecasts([forecasts], holdout)
+    checks.check_forecasts(errors, holdout, 1)
     got = {
         r.cat_id: (r.mae, r.rmse, r.wape, r.forecast_bias, r.mean_actual, r.mean_predicted)
         for r in evaluation.all_model_metrics(errors).collect()
