@@ -74,7 +74,7 @@ VIEWS = {
                   lag(cast(round(sell_price * 100) as bigint)) over (partition by item_id order by wm_yr_wk) earlier
            from item_prices) join products using (item_id) group by all""",
     "on_record": """
-        select cat_id, w.wm_yr_wk, sum(rise) / nullif(sum(new), 0) / 100 average_price
+        select cat_id, w.wm_yr_wk, ((2 * sum(rise) + sum(new)) // (2 * nullif(sum(new), 0))) / 100 average_price
         from (select distinct wm_yr_wk from week) w join price_changes c on c.wm_yr_wk < w.wm_yr_wk group by all""",
     "panel": """
         select f.*, cat_id, coalesce(units_sold, 0) units_sold, coalesce(revenue, 0) revenue, r.average_price,

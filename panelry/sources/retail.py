@@ -212,7 +212,7 @@ def recorded_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_recorded_price(panel: DataFrame, changes: DataFrame) -> DataFrame:
-    """Adds ``average_price``: the plain mean of the prices on record from earlier weeks.
+    """Adds ``average_price``: the plain mean of the prices on record from earlier weeks, in whole cents (halves up).
 
     No sale of the day, nor of its week, moves it; it is null until an item of the category has been on sale.
     """
@@ -220,7 +220,9 @@ def with_recorded_price(panel: DataFrame, changes: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("cat_id").orderBy("wm_yr_wk").rangeBetween(Window.unboundedPreceding, -1)
     joined = panel.withColumn("_first", first_of_week).join(changes, ["cat_id", "wm_yr_wk"], "left")
     once = lambda name: F.sum(F.when(F.col("_first"), F.col(name))).over(earlier)
-    return joined.withColumn("average_price", F.try_divide(once("_rise"), once("_new")) / 100).drop("_first", "_rise", "_new")
+    totals = joined.withColumns({"_sum": once("_rise"), "_items": once("_new")})
+    cents = F.expr("(2 * _sum + _items) div (2 * nullif(_items, 0))")
+    return totals.withColumn("average_price", cents / 100).drop("_first", "_rise", "_new", "_sum", "_items")
 
 
 def category_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
