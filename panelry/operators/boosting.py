@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -71,6 +72,38 @@ def zero_variance_columns(train: DataFrame, predictors: Sequence[str]) -> DataFr
     return fixed.unpivot([], list(medians), "feature", "is_constant")
 
 
+def _preparation(train: DataFrame, predictors: Sequence[str]) -> list:
+    """Stages before the trees: index, one-hot with all levels, impute, assemble, drop constants."""
+    nominal, _ = _split_types(train, predictors)
+    medians = training_medians(train, predictors)
+    filled = {name: f"{name}{FILLED}" for name in medians}
+    indexed = [f"{name}_index" for name in nominal]
+    encoded = [f"{name}_level" for name in nominal]
+    stages = []
+    if nominal:
+        stages.append(StringIndexer(inputCols=nominal, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=False, handleInvalid="keep"))
+    imputed = ", ".join(f"coalesce(`{name}`, cast('{value!r}' as double)) as `{filled[name]}`" for name, value in medians.items())
+    stages += [
+        SQLTransformer(statement=f"select *{', ' if imputed else ''}{imputed} from __THIS__"),
+        VectorAssembler(inputCols=encoded + list(filled.values()), outputCol="all_features"),
+        VarianceThresholdSelector(varianceThreshold=0.0, featuresCol="all_features", outputCol="features"),
+    ]
+    return stages
+
+
+def encoded_features(train: DataFrame, predictors: Sequence[str], keys: Sequence[str] = ("date", "cat_id")) -> DataFrame:
+    """What the trees see, as one row per training row and input: the keys, feature and value.
+
+    Inputs are category levels as 0 and 1 and imputed numbers, without those that never change in training.
+    """
+    frame = _model_frame(train, predictors)
+    model = Pipeline(stages=_preparation(train, predictors)).fit(frame)
+    names = F.array(*[F.lit(name) for name in _feature_names(model, frame)])
+    inputs = model.transform(frame).select(*keys, F.posexplode(vector_to_array("features")).alias("_at", "value"))
+    return inputs.select(*keys, F.element_at(names, F.col("_at") + 1).alias("feature"), "value")
+
+
 def fit_gbt(
     train: DataFrame,
     predictors: Sequence[str],
@@ -87,29 +120,14 @@ def fit_gbt(
     stays short when an executor is lost.
     """
     shared_folder(train.sparkSession)
-    nominal, _ = _split_types(train, predictors)
-    medians = training_medians(train, predictors)
-    filled = {name: f"{name}{FILLED}" for name in medians}
-    indexed = [f"{name}_index" for name in nominal]
-    encoded = [f"{name}_level" for name in nominal]
-    stages = []
-    if nominal:
-        stages.append(StringIndexer(inputCols=nominal, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=False, handleInvalid="keep"))
-    imputed = ", ".join(f"coalesce(`{name}`, cast('{value!r}' as double)) as `{filled[name]}`" for name, value in medians.items())
-    stages += [
-        SQLTransformer(statement=f"select *{', ' if imputed else ''}{imputed} from __THIS__"),
-        VectorAssembler(inputCols=encoded + list(filled.values()), outputCol="all_features"),
-        VarianceThresholdSelector(varianceThreshold=0.0, featuresCol="all_features", outputCol="features"),
-        GBTRegressor(
-            featuresCol="features", labelCol=target, predictionCol="_prediction",
-            **{**SETTINGS, **({"maxIter": trees} if trees else {})},
-        ),
-    ]
+    boost = GBTRegressor(
+        featuresCol="features", labelCol=target, predictionCol="_prediction",
+        **{**SETTINGS, **({"maxIter": trees} if trees else {})},
+    )
     frame = _model_frame(train, predictors).select(*predictors, F.col(target).cast("double").alias(target))
     frame = frame.coalesce(frame.count() // TASK_ROWS + 1).cache()
     try:
-        return Pipeline(stages=stages).fit(frame)
+        return Pipeline(stages=[*_preparation(train, predictors), boost]).fit(frame)
     finally:
         frame.unpersist()
 

@@ -90,8 +90,29 @@ def add_row_flags(df: DataFrame, revenue: bool = True) -> DataFrame:
     return df.withColumns(columns)
 
 
+#: From so many columns on, the missing values are counted by column number instead of one aggregate per column.
+WIDE_COLUMNS = 100
+
+
+def _missing_in_wide(df: DataFrame) -> DataFrame:
+    """Column number, missing values and rows of a wide table: a flag per cell, counted before the shuffle."""
+    tests = [f"`{name}` is null" + (f" or isnan(`{name}`)" if dtype in ("double", "float") else "") for name, dtype in df.dtypes]
+    flags = F.expr("array(" + ", ".join(tests) + ")")
+    counted = df.select(F.posexplode(flags).alias("_at", "_is")).groupBy("_at").agg(
+        F.count_if("_is").alias("_missing"), F.count(F.lit(1)).alias("_rows")
+    )
+    every = df.sparkSession.range(len(tests)).select(F.col("id").cast("int").alias("_at"))
+    names = F.expr("array(" + ", ".join("'" + name.replace("'", "\\'") + "'" for name in df.columns) + ")")
+    return every.join(counted, "_at", "left").select(
+        F.element_at(names, F.col("_at") + 1).alias("variable"), F.coalesce("_missing", F.lit(0)).cast("long").alias("missing"),
+        F.round(F.try_divide(F.col("_missing") * 100.0, F.col("_rows")), 2).alias("percent"),
+    )
+
+
 def missing_summary(df: DataFrame) -> DataFrame:
-    """Missing count and percentage of every column, in one pass over the table."""
+    """Missing count and percentage of every column, in one pass over the table; the percentage of an empty table is null."""
+    if len(df.columns) >= WIDE_COLUMNS:
+        return _missing_in_wide(df)
     tests = [(name, missing(name, dtype)) for name, dtype in df.dtypes]
     counts = df.agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count_if(test).alias(f"_{i}") for i, (_, test) in enumerate(tests)]

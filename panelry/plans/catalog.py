@@ -44,6 +44,11 @@ def panel(spark, d):
     return retail.category_panel(spark, d)
 
 
+def unpriced(spark, d):
+    """The category panel for questions that don't look at the price."""
+    return retail.category_panel(spark, d, price=False)
+
+
 def flagged_calendar(spark, d):
     return cleaning.add_row_flags(retail.calendar(spark, d), revenue=False)
 
@@ -172,16 +177,19 @@ def _feature_summary(spark, d):
     )
 
 
-def _described(spark, d):
+def _described(spark, d, ready=None):
     """Feature dictionary entries with the measured missing share of each feature."""
     measured = features.feature_missingness(
-        ready_features(spark, d), [name for name, _, _ in features.FEATURE_DICTIONARY]
+        ready_features(spark, d) if ready is None else ready, [name for name, _, _ in features.FEATURE_DICTIONARY]
     )
     return features.feature_dictionary(spark).join(measured, "feature")
 
 
 def _feature_kpis(spark, d):
-    return reports.feature_kpis(_feature_summary(spark, d), _described(spark, d))
+    """From the stored feature table, which both the summary and the measured shares read."""
+    stored = stored_features(spark, d)
+    summary = features.feature_summary(stored, features.model_ready(product_features(spark, d)))
+    return reports.feature_kpis(summary, _described(spark, d, stored))
 
 
 def _ensure_price(spark, d):
@@ -233,6 +241,11 @@ def _imputed(spark, d):
     return tidy(boosting.median_imputed_features(train, names).select("date", *names))
 
 
+def _encoded(spark, d):
+    train, _ = evaluation.train_test_split(stored_features(spark, d), HORIZON)
+    return tidy(boosting.encoded_features(train, boosting.gbt_predictors(train)))
+
+
 def _zero_variance(spark, d):
     train, _ = evaluation.train_test_split(stored_features(spark, d), HORIZON)
     return boosting.zero_variance_columns(train, boosting.gbt_predictors(train))
@@ -242,6 +255,21 @@ def _unpivot(spark, d):
     return cleaning.unpivot_daily_sales(retail.sales_wide(spark, d))
 
 
+def store_wide(spark, d):
+    """The raw wide table of one store, one row per item, scoped before it is built."""
+    return retail.sales_wide(spark, d, ("store_id", "item_id"), STORE)
+
+
+def store_categories(spark, d):
+    """Daily sales of each category in each store, as series of their own: most have days with and without sales."""
+    daily = retail.item_days(spark, d).groupBy("store_no", "cat_id", "date").agg(F.sum("sales").alias("sales"))
+    return daily.select(F.concat_ws("|", "store_no", "cat_id").alias("item_id"), F.lit(None).cast("string").alias("dept_id"), "cat_id", "sales", F.lit(None).cast("double").alias("sell_price"))
+
+
+def _series_intermittency(spark, d):
+    return exploration.intermittency_histogram(cleaning.product_summary(store_categories(spark, d), days=retail.day_count(spark, d)))
+
+
 def _join_calendar(spark, d):
     """Unpivoted daily sales with the calendar attached by day label."""
     days = retail.calendar(spark, d).select("d", "date", "wm_yr_wk", "weekday", "event_name_1", "snap_ca")
@@ -266,6 +294,7 @@ QUERIES: dict[str, Query] = {
     "snake_columns": lambda s, d: cleaning.snake_columns(retail.raw_calendar(s, d)),
     "ensure_price_column": _ensure_price,
     "unpivot_daily_sales": _unpivot,
+    "unpivot_store_sales": lambda s, d: cleaning.unpivot_daily_sales(store_wide(s, d)),
     "history_feature_long": lambda s, d: tidy(reports.history_feature_long(filtered_features(s, d), HISTORY_FEATURE)),
     # filters
     "scope_store": lambda s, d: tidy(cleaning.scope_store(retail.sales_fact(s, d, STORE), STORE)),
@@ -278,13 +307,15 @@ QUERIES: dict[str, Query] = {
     "join_calendar": _join_calendar,
     "join_prices": _join_prices,
     "selected_product_sales": lambda s, d: tidy(product_sales(s, d).select(*contracts.PRODUCT_SALES_COLUMNS)),
-    "join_event_calendar": lambda s, d: features.join_event_calendar(panel(s, d).select("date", "cat_id", "is_event"), events(s, d)),
+    "join_event_calendar": lambda s, d: features.join_event_calendar(unpriced(s, d).select("date", "cat_id", "is_event"), events(s, d)),
     "event_calendar": events,
     # cleaning and validation
     "missing_summary": lambda s, d: cleaning.missing_summary(retail.calendar(s, d)),
     "missing_summary_sales": lambda s, d: cleaning.missing_summary(fact(s, d)),
     "missing_summary_prices": lambda s, d: cleaning.missing_summary(retail.prices(s, d)),
     "duplicate_rows": _duplicate_rows,
+    "duplicate_rows_wide": lambda s, d: cleaning.duplicate_rows(store_wide(s, d)),
+    "missing_summary_wide": lambda s, d: cleaning.missing_summary(store_wide(s, d)),
     "duplicate_rows_calendar": lambda s, d: cleaning.duplicate_rows(retail.calendar(s, d)),
     "duplicate_rows_prices": lambda s, d: cleaning.duplicate_rows(retail.prices(s, d)),
     "sales_profile": lambda s, d: cleaning.sales_profile(fact(s, d)),
@@ -292,7 +323,7 @@ QUERIES: dict[str, Query] = {
     "price_missing_by_month": lambda s, d: tidy(cleaning.price_missing_by_month(fact(s, d))),
     "sales_complete": lambda s, d: tidy(fact(s, d)),
     "daily_category_sales": lambda s, d: tidy(cleaning.daily_category_sales(fact(s, d), one_row_per_item=True)),
-    "date_range": lambda s, d: features.date_range(panel(s, d)),
+    "date_range": lambda s, d: features.date_range(unpriced(s, d)),
     "feature_validation": lambda s, d: features.feature_validation(ready_features(s, d), "cat_id", "units_sold"),
     "product_feature_validation": lambda s, d: features.feature_validation(features.model_ready(product_features(s, d)), "item_id", "sales", "sell_price"),
     "leakage_check": lambda s, d: tidy(features.leakage_check(ready_features(s, d), "units_sold")),
@@ -304,13 +335,13 @@ QUERIES: dict[str, Query] = {
     "forecast_validation": lambda s, d: evaluation.forecast_validation(naive_errors(s, d), evaluation.train_test_split(stored_units(s, d), HORIZON)[1], len(SEASONS)),
     "forecast_metadata": _metadata,
     # exploration
-    "daily_total": lambda s, d: tidy(exploration.daily_total(panel(s, d))),
-    "daily_total_ma30": lambda s, d: tidy(exploration.daily_total_ma30(panel(s, d))),
-    "monthly_seasonality": lambda s, d: exploration.monthly_seasonality(panel(s, d)),
-    "category_summary": lambda s, d: tidy(exploration.category_summary(panel(s, d))),
-    "weekday_totals": lambda s, d: exploration.weekday_totals(panel(s, d)),
-    "event_effect": lambda s, d: tidy(exploration.event_effect(panel(s, d))),
-    "snap_effect": lambda s, d: tidy(exploration.snap_effect(panel(s, d))),
+    "daily_total": lambda s, d: tidy(exploration.daily_total(unpriced(s, d))),
+    "daily_total_ma30": lambda s, d: tidy(exploration.daily_total_ma30(unpriced(s, d))),
+    "monthly_seasonality": lambda s, d: exploration.monthly_seasonality(unpriced(s, d)),
+    "category_summary": lambda s, d: tidy(exploration.category_summary(unpriced(s, d))),
+    "weekday_totals": lambda s, d: exploration.weekday_totals(unpriced(s, d)),
+    "event_effect": lambda s, d: tidy(exploration.event_effect(unpriced(s, d))),
+    "snap_effect": lambda s, d: tidy(exploration.snap_effect(unpriced(s, d))),
     "price_demand_curve": lambda s, d: tidy(exploration.price_demand_curve(fact(s, d), PRICE_WIDTH)),
     "price_demand_fit": lambda s, d: tidy(exploration.price_demand_fit(fact(s, d))),
     "product_totals": lambda s, d: exploration.top_k_strict(exploration.product_totals(retail.product_days(s, d)), "total_sales", 20, "item_id"),
@@ -332,6 +363,7 @@ QUERIES: dict[str, Query] = {
     "gbt_predictors": _predictors,
     "median_imputed_features": _imputed,
     "zero_variance_columns": _zero_variance,
+    "gbt_model_frame": _encoded,
     "gbt_forecast": _gbt_forecast,
     "gbt_importance": _gbt_importance,
     "top_importance": lambda s, d: reports.top_importance(_gbt_importance(s, d)),
@@ -348,15 +380,16 @@ QUERIES: dict[str, Query] = {
     "overall_metrics": lambda s, d: evaluation.overall_metrics(naive_metrics(s, d)),
     "forecasting_run_metrics": _all_models,
     # reports
-    "overview_kpis": lambda s, d: tidy(reports.overview_kpis(panel(s, d), products(s, d))),
-    "category_mix": lambda s, d: reports.category_mix(panel(s, d)),
-    "weekday_average": lambda s, d: tidy(reports.weekday_average(panel(s, d))),
-    "month_average": lambda s, d: tidy(reports.month_average(panel(s, d))),
-    "key_findings": lambda s, d: reports.key_findings(panel(s, d)),
-    "demand_trend": lambda s, d: tidy(reports.demand_trend(panel(s, d), "revenue")),
-    "monthly_category_trend": lambda s, d: reports.monthly_category_trend(panel(s, d)),
-    "event_lift": lambda s, d: tidy(reports.event_lift(panel(s, d))),
+    "overview_kpis": lambda s, d: tidy(reports.overview_kpis(unpriced(s, d), retail.sold_products(s, d))),
+    "category_mix": lambda s, d: reports.category_mix(unpriced(s, d)),
+    "weekday_average": lambda s, d: tidy(reports.weekday_average(unpriced(s, d))),
+    "month_average": lambda s, d: tidy(reports.month_average(unpriced(s, d))),
+    "key_findings": lambda s, d: reports.key_findings(unpriced(s, d)),
+    "demand_trend": lambda s, d: tidy(reports.demand_trend(unpriced(s, d), "revenue")),
+    "monthly_category_trend": lambda s, d: reports.monthly_category_trend(unpriced(s, d)),
+    "event_lift": lambda s, d: tidy(reports.event_lift(unpriced(s, d))),
     "intermittency_histogram": lambda s, d: exploration.intermittency_histogram(products(s, d)),
+    "series_intermittency_histogram": _series_intermittency,
     "feature_linear_fit": lambda s, d: tidy(reports.feature_linear_fit(filtered_features(s, d), HISTORY_FEATURE)),
     "feature_group_counts": lambda s, d: reports.feature_group_counts(_described(s, d)),
     "feature_correlation": lambda s, d: reports.feature_correlation(filtered_features(s, d), HISTORY_FEATURE),

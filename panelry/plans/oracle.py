@@ -295,6 +295,11 @@ WIDE_LONG = """
     from spine cross join (select distinct state_id, cat_id from lines join products using (item_id))
          left join (select state_id, cat_id, date, sum(units) sales from lines join products using (item_id) group by all)
          using (state_id, cat_id, date)"""
+STORE_LONG = f"""
+    select store_id, item_id, 'd_' || cast(date_diff('day', lo, date) + 1 as varchar) d, coalesce(sales, 0) sales
+    from spine cross join (select distinct store_id, item_id from lines where store_id = '{STORE}')
+         left join (select store_id, item_id, date, sum(units) sales from lines group by all) using (store_id, item_id, date)"""
+TRAINED = "(select f.* from features f cross join cutoff where f.date < test_from)"
 ROUND_TRIP = sql(
     "select date, cat_id, units_sold, average_price, event_name_1, is_event from panel", "units_sold average_price"
 )
@@ -307,6 +312,7 @@ ORACLES: dict[str, str] = {
     "snake_columns": sql("select * from cal"),
     "ensure_price_column": sql("select date, cat_id, average_price from panel", "average_price"),
     "unpivot_daily_sales": sql(f"select state_id, cat_id, d, sales from ({WIDE_LONG})"),
+    "unpivot_store_sales": sql(f"select * from ({STORE_LONG})"),
     "history_feature_long": sql(
         f"""select date, 'Actual demand' series, units_sold as value from picked
             union all select date, 'Historical feature', {HISTORY_FEATURE} from picked""", "value"),
@@ -334,6 +340,13 @@ ORACLES: dict[str, str] = {
     "missing_summary_prices": sql(missing_sql("prices", ["store_id", "item_id", "wm_yr_wk", "sell_price"])),
     "duplicate_rows": """
         select cast((select count(*) from lineitem) - (select count(*) from (select distinct * from lineitem)) as bigint) duplicate_rows""",
+    "duplicate_rows_wide": sql(
+        f"""select cast(count(*) - count(distinct {{'s': store_id, 'i': item_id, 'v': days}}) as bigint) duplicate_rows
+            from (select store_id, item_id, list(sales order by d) as days from ({STORE_LONG}) group by all)"""),
+    "missing_summary_wide": sql(
+        f"""select d variable, cast(count_if(sales is null) as bigint) missing, round(100.0 * count_if(sales is null) / count(*), 2) percent
+            from ({STORE_LONG}) group by d
+            union all select unnest(['store_id', 'item_id']), 0, 0.0"""),
     "duplicate_rows_calendar": sql("select cast((select count(*) from cal) - (select count(*) from (select distinct * from cal)) as bigint) duplicate_rows"),
     "duplicate_rows_prices": sql("select cast((select count(*) from prices) - (select count(*) from (select distinct * from prices)) as bigint) duplicate_rows"),
     "sales_profile": sql(
@@ -439,6 +452,14 @@ ORACLES: dict[str, str] = {
                 from tr having count({n}) > 0"""
             for n in PREDICTORS if n != "cat_id"
         ).replace("from tr", "from (select f.* from features f cross join cutoff where f.date < test_from)")),
+    "gbt_model_frame": sql(
+        " union all ".join(
+            [f"""select date, cat_id, 'cat_id_' || level feature, cast(cat_id = level as double) as value
+                 from {TRAINED} cross join (select distinct cat_id level from {TRAINED})"""]
+            + [f"""select date, cat_id, '{n}', coalesce(cast({n} as double), middle) from {TRAINED}
+                   cross join (select median({n}) middle, min({n}) low, max({n}) high from {TRAINED})
+                   where middle is not null and (low <> high or low <> middle)""" for n in PREDICTORS if n != "cat_id"]
+        ), "value"),
     "forecast_errors": sql("select * from errors", ERROR_COLUMNS),
     "all_forecasts": sql("select date, cat_id, model, predicted, actual from errors"),
     "forecast_metrics": sql(f"select model, {METRICS} from errors group by model"),
@@ -478,6 +499,12 @@ ORACLES: dict[str, str] = {
         """select bin, bin * 2.5 from_pct, (bin + 1) * 2.5 to_pct, count(*) products
            from (select cast(least(floor(zero_sales_pct / 2.5), 39) as int) bin from product_table) group by bin"""
            .replace("bin * 2.5", "cast(bin * 2.5 as double)").replace("(bin + 1) * 2.5", "cast((bin + 1) * 2.5 as double)")),
+    "series_intermittency_histogram": sql(
+        """select bin, cast(bin * 2.5 as double) from_pct, cast((bin + 1) * 2.5 as double) to_pct, count(*) products from
+             (select cast(least(floor(100.0 * count_if(coalesce(sales, 0) = 0) / count(*) / 2.5), 39) as int) bin
+              from spine cross join (select distinct store_id, cat_id from fact)
+                   left join (select store_id, cat_id, date, sum(sales) sales from fact group by all) using (store_id, cat_id, date)
+              group by store_id, cat_id) group by bin"""),
     "feature_linear_fit": sql(LINEAR.format(y="units_sold", x=HISTORY_FEATURE, view="picked"), "slope intercept r2"),
     "feature_group_counts": sql(
         'select "group", count(*) feature_count from dictionary join feature_gaps using (feature) group by 1'),

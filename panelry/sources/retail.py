@@ -110,11 +110,8 @@ def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         return chain
 
     carnival = (F.month(day) == 2) & (F.dayofmonth(day) == 14) & (wday == 2)
-    bounds = table(spark, sf_dir, "lineitem").agg(
-        F.min(F.col("l_shipdate").cast("date")).alias("lo"), F.max(F.col("l_shipdate").cast("date")).alias("hi")
-    )
     snap = F.dayofmonth(day)
-    return bounds.select("lo", F.explode(F.sequence("lo", "hi")).alias("date")).select(
+    return day_bounds(spark, sf_dir).select("lo", F.explode(F.sequence("lo", "hi")).alias("date")).select(
         "date",
         iso_week_key(day).alias("wm_yr_wk"),
         F.date_format(day, "EEEE").alias("weekday"),
@@ -175,16 +172,17 @@ def sales_fact(spark: SparkSession, sf_dir: str, store: str | None = None) -> Da
     return add_row_flags(priced.join(stores(spark, sf_dir), "store_no").drop("store_no"))
 
 
-def sales_wide(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("state_id", "cat_id")) -> DataFrame:
+def sales_wide(
+    spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("state_id", "cat_id"), store: str | None = None
+) -> DataFrame:
     """Raw-file layout: one row per series, one zero-filled ``d_`` column per day of the data.
 
     The number of columns is the number of days, so only the two bounds come to the driver. A series
-    is gathered after the daily sums, as one value per day.
+    is gathered after the daily sums, as one value per day. With ``store``, other stores go before the sums.
     """
-    day = F.col("l_shipdate").cast("date")
-    bounds = table(spark, sf_dir, "lineitem").agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    bounds = day_bounds(spark, sf_dir).first()
     daily = (
-        lines(spark, sf_dir)
+        numbered_lines(spark, sf_dir, store).join(stores(spark, sf_dir), "store_no")
         .join(products(spark, sf_dir), "item_id")
         .groupBy(*keys, "date")
         .agg(F.sum("units").alias("sales"))
@@ -225,14 +223,18 @@ def with_recorded_price(panel: DataFrame, changes: DataFrame) -> DataFrame:
     return totals.withColumn("average_price", cents / 100).drop("_first", "_rise", "_new", "_sum", "_items")
 
 
-def category_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense category × day panel over all stores, with calendar columns and the price on record."""
+def category_panel(spark: SparkSession, sf_dir: str, price: bool = True) -> DataFrame:
+    """Dense category × day panel over all stores, with calendar columns and the price on record.
+
+    Without ``price`` the column is missing, and the lines are not read for it.
+    """
     days = calendar(spark, sf_dir)
     daily = daily_category_sales(sales_fact(spark, sf_dir), keys=["date", "cat_id"])
     lo, hi = date_bounds(spark, sf_dir)
     dense = densify(daily.drop("average_price"), ["cat_id"], lo, hi, zero=["units_sold", "revenue", "active_items"])
     dated = join_calendar(dense, days, on="date")
-    return add_row_flags(with_recorded_price(dated, recorded_prices(spark, sf_dir)), revenue=False)
+    priced = with_recorded_price(dated, recorded_prices(spark, sf_dir)) if price else dated
+    return add_row_flags(priced, revenue=False)
 
 
 def product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,6 +252,11 @@ def product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sold_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that have a line: one narrow column of the lines, made distinct before the shuffle."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item_id")).distinct().join(products(spark, sf_dir).select("item_id"), "item_id", "left_semi")
+
+
 def category_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense category × day units: the part of the category panel that forecasting needs.
 
@@ -279,14 +286,19 @@ def product_panel(spark: SparkSession, sf_dir: str, selected: DataFrame) -> Data
     return add_row_flags(weekly_price(dated, "item_id"))
 
 
+def day_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row with the first and the last day of the data: one aggregate for all that need the days, so its
+    exchange is reused within a query."""
+    day = F.col("l_shipdate").cast("date")
+    return table(spark, sf_dir, "lineitem").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+
+
 def day_count(spark: SparkSession, sf_dir: str) -> Column:
     """Number of days the data spans, as a scalar subquery."""
-    day = F.col("l_shipdate").cast("date")
-    return table(spark, sf_dir, "lineitem").agg(F.datediff(F.max(day), F.min(day)) + 1).scalar()
+    return day_bounds(spark, sf_dir).select(F.datediff("hi", "lo") + 1).scalar()
 
 
 def date_bounds(spark: SparkSession, sf_dir: str) -> tuple[Column, Column]:
-    """First and last day of the data as scalar subqueries."""
-    day = F.col("l_shipdate").cast("date")
-    source = table(spark, sf_dir, "lineitem")
-    return source.agg(F.min(day)).scalar(), source.agg(F.max(day)).scalar()
+    """First and last day of the data, as fields of one scalar subquery."""
+    both = day_bounds(spark, sf_dir).select(F.struct("lo", "hi")).scalar()
+    return both["lo"], both["hi"]
