@@ -56,6 +56,16 @@ def test_missing_summary_counts_nan(spark):
     assert rows(cleaning.missing_summary(df)) == [("a", 2, 66.67), ("b", 1, 33.33)]
 
 
+def test_missing_summary_of_a_wide_table(spark):
+    names = ["it's", *[f"d_{i}" for i in range(1, 120)]]
+    df = spark.createDataFrame([[None if i % 3 == r else float("nan") if i == 4 else 1.0 for i in range(120)] for r in range(2)], ", ".join(f"`{n}` double" for n in names))
+    wide = {r.variable: (r.missing, r.percent) for r in cleaning.missing_summary(df).collect()}
+    parts = [cleaning.missing_summary(df.select(*[f"`{n}`" for n in half])) for half in (names[:60], names[60:])]
+    assert wide == {r.variable: (r.missing, r.percent) for part in parts for r in part.collect()}
+    empty = cleaning.missing_summary(df.limit(0)).collect()
+    assert len(empty) == 120 and all((r.missing, r.percent) == (0, None) for r in empty)
+
+
 def test_duplicate_rows_and_keys(spark):
     df = spark.createDataFrame([(1, None), (1, None), (1, None), (2, "x")], "a int, b string")
     assert cleaning.duplicate_rows(df).first()[0] == 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelry.functions import smoothing
 from panelry.operators import boosting, checks, ets, evaluation, naive, reports
 from panelry.sources.contracts import ContractError
+from published import METRICS, PREDICTED, RANKS
 
 START = dt.date(2016, 4, 25)
 
@@ -71,6 +72,26 @@ def test_published_rankings(spark):
             assert got[(category, model)] == (place, place == 1)
 
 
+def test_published_run_of_three_models(spark):
+    """All 252 published forecasts: three models, three categories, 28 days."""
+    days = [START + dt.timedelta(i) for i in range(28)]
+    schema = "date date, cat_id string, model string, predicted double"
+    weeks = {("Seasonal Naive", c): [float(v) for v in week * 4] for c, week in PUBLISHED_NAIVE.items()}
+    made = spark.createDataFrame([(d, c, m, v) for (m, c), values in (PREDICTED | weeks).items() for d, v in zip(days, values)], schema)
+    holdout = spark.createDataFrame(
+        [(d, c, float(v)) for c, values in PUBLISHED_DEMAND.items() for d, v in zip(days, values)], "date date, cat_id string, units_sold double"
+    )
+    errors = evaluation.all_forecasts([made.where(F.col("model") == m) for m in ("ETS", "XGBoost", "Seasonal Naive")], holdout)
+    checks.check_forecasts(errors, holdout, 3)
+    assert errors.count() == 252
+    got = {(r.cat_id, r.model): (r.observations, r.mae, r.rmse, r.wape, r.forecast_bias) for r in evaluation.all_model_metrics(errors).collect()}
+    assert got.keys() == METRICS.keys() and len(got) == 12
+    for key, values in METRICS.items():
+        assert got[key] == pytest.approx(values, abs=1.001e-3)
+    ranks = evaluation.model_rankings(evaluation.category_model_metrics(errors)).collect()
+    assert {(r.cat_id, r.model): r.model_rank for r in ranks} == RANKS
+
+
 def weekly_frame(spark, weeks=3, values=HOUSEHOLD_NAIVE):
     data = [(START + dt.timedelta(i), "H", float(values[i % 7] + 100 * (i < 7 * (weeks - 1)))) for i in range(7 * weeks)]
     return spark.createDataFrame(data, "date date, cat_id string, units_sold double")
@@ -271,3 +292,52 @@ def test_zero_variance(boosted):
     train, _, names, _ = boosted
     got = {r.feature: r.is_constant for r in boosting.zero_variance_columns(train, names).collect()}
     assert got == {"weekday_number": False, "is_event": True, "average_price": False}
+
+
+def walked(nodes, weights, values):
+    """A boosted prediction by plain descent through the saved nodes."""
+    total = 0.0
+    for tree, weight in weights.items():
+        node = nodes[tree][0]
+        while node["leftChild"] >= 0:
+            split = node["split"]
+            value, bounds = values[split["featureIndex"]], split["leftCategoriesOrThreshold"]
+            left = value in bounds if split["numCategories"] >= 0 else value <= bounds[0]  # a level's 0 and 1 are categories
+            node = nodes[tree][node["leftChild" if left else "rightChild"]]
+        total += weight * node["prediction"]
+    return total
+
+
+def test_saved_trees_give_the_same_predictions_and_importance(spark, boosted, tmp_path):
+    train, _, names, model = boosted
+    path = f"{tmp_path}/trees"
+    model.stages[-1].save(path)
+    nodes, weights = {}, {r[0]: r[2] for r in spark.read.parquet(f"{path}/treesMetadata").collect()}
+    for r in spark.read.parquet(f"{path}/data").collect():
+        nodes.setdefault(r[0], {})[r.nodeData.id] = r.nodeData.asDict(recursive=True)
+    assert len(weights) == 8
+    for row in model.transform(boosting._model_frame(train, names)).limit(100).collect():
+        assert row["_prediction"] == pytest.approx(walked(nodes, weights, row["features"].toArray()))
+    gain, cover, uses = {}, {}, {}
+    labels = boosting._feature_names(model, boosting._model_frame(train, names))
+    for tree in nodes.values():
+        for node in tree.values():
+            if node["leftChild"] >= 0:
+                name = labels[node["split"]["featureIndex"]]
+                gain[name] = gain.get(name, 0.0) + node["gain"] * node["rawCount"]
+                cover[name] = cover.get(name, 0) + node["rawCount"]
+                uses[name] = uses.get(name, 0) + 1
+    rows = boosting.gbt_importance(model, train, names).collect()
+    assert {r.feature for r in rows} == set(gain)
+    for r in rows:
+        shares = [part[r.feature] / sum(part.values()) for part in (gain, cover, uses)]
+        assert [r.gain, r.cover, r.frequency] == pytest.approx(shares)
+
+
+def test_encoded_features_are_what_the_trees_see(boosted):
+    train, _, names, _ = boosted
+    rows = boosting.encoded_features(train, names).collect()
+    assert {r.feature for r in rows} == {"cat_id_A", "cat_id_B", "cat_id_unknown", "weekday_number", "average_price"}
+    assert len(rows) == 5 * train.count() and all(r.value is not None for r in rows)
+    first = {(r.cat_id, r.feature): r.value for r in rows if r.date == START}
+    assert first["A", "cat_id_A"] == 1 and first["B", "cat_id_A"] == 0 and first["unknown", "cat_id_unknown"] == 1

@@ -49,3 +49,26 @@ def test_scans_read_only_needed_columns(spark):
 def test_no_python_outside_smoothing(spark):
     for name in ("category_features", "product_features", "all_model_metrics", "product_summary"):
         assert not re.search("Python|ArrowEval|Pandas", plan(spark, name))
+
+
+def reads_of_lines(df):
+    """Scans of the sales lines in the plans that ran: exchanges and subqueries that were reused have none."""
+    df.collect()
+    reads, open_plans = 0, []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = re.search(r"[A-Za-z=*(]", line)
+        while open_plans and at and at.start() < open_plans[-1][0]:
+            open_plans.pop()
+        if "== Final Plan ==" in line:
+            open_plans.append([at.start(), True])
+        elif "== Initial Plan ==" in line and open_plans:
+            open_plans[-1][1] = False
+        elif "FileScan parquet [l_" in line:
+            reads += all(final for _, final in open_plans)
+    return reads
+
+
+@pytest.mark.parametrize("name, most", [("daily_total_ma30", 2), ("category_mix", 2), ("overview_kpis", 3), ("category_features", 3)])
+def test_few_reads_of_the_lines(spark, name, most):
+    """One for the facts, one narrow one for the days; where asked, one for item numbers or recorded prices."""
+    assert 1 <= reads_of_lines(QUERIES[name](spark, SF_DIR)) <= most
