@@ -145,7 +145,7 @@ def packed(ids: np.ndarray, tags: np.ndarray, owner: np.ndarray, rest: bytes = b
     """Entries of one bucket; ``owner`` are places in ids and tags."""
     docs, doc = np.unique(owner, return_inverse=True)
     head = np.array([len(docs), len(owner)], "<u8").tobytes()
-    body = [_planes(ids[docs].view(np.uint64), 8), _planes(tags[docs], 2), _planes(doc, 4)]
+    body = [_planes(ids[docs].view(np.uint64), 8), _planes(tags[docs].view(np.uint64), 8), _planes(doc, 4)]
     return b"".join([head, *body, *[_planes(v, _WIDTHS[k]) for k, v in columns.items()], rest])
 
 
@@ -156,7 +156,7 @@ def unpacked(blobs: list[bytes], names: list[str]) -> tuple[dict[str, np.ndarray
         n_docs, n = (int(x) for x in np.frombuffer(blob[:16], "<u8"))
         raw, out = memoryview(blob)[16:], {}
         ids, raw = _unplanes(raw, n_docs, 8).view(np.int64), raw[8 * n_docs :]
-        tags, raw = _unplanes(raw, n_docs, 2).astype(np.int64), raw[2 * n_docs :]
+        tags, raw = _unplanes(raw, n_docs, 8).view(np.int64), raw[8 * n_docs :]
         doc, raw = _unplanes(raw, n, 4).astype(np.int64), raw[4 * n :]
         out |= {"id": ids[doc], "tag": tags[doc], "doc": doc + places}
         places += n_docs
@@ -178,13 +178,13 @@ def _per_document(doc: np.ndarray, ids: np.ndarray, tags: np.ndarray, values: np
     heads = np.flatnonzero(np.append(True, doc[order][1:] != doc[order][:-1])) if len(doc) else np.empty(0, np.int64)
     first = order[heads]
     counts = np.diff(np.append(heads, len(doc)))
-    return [pa.array(ids[first], pa.int64()), pa.array(tags[first].astype(np.int32)), _lists(counts, values[order])]
+    return [pa.array(ids[first], pa.int64()), pa.array(tags[first], pa.int64()), _lists(counts, values[order])]
 
 
 # ---- 1: regions that documents share ---------------------------------------------------------------
 
-_REGION_ROWS = "bucket int, blob binary, doc_id long, tag int, codes array<long>"
-_CODES = "doc_id long, tag int, codes array<long>"
+_REGION_ROWS = "bucket int, blob binary, doc_id long, tag long, codes array<long>"
+_CODES = "doc_id long, tag long, codes array<long>"
 
 
 def _send_regions(splitters: np.ndarray, length: int, lead: int):
@@ -250,7 +250,7 @@ def _compare_regions(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 # ---- 2: windows of open regions -------------------------------------------------------------------
 
 _WINDOW_ROWS = "bucket int, blob binary"
-_RANGES = "doc_id long, tag int, ranges array<long>"
+_RANGES = "doc_id long, tag long, ranges array<long>"
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -365,8 +365,8 @@ def _remove(splitters: np.ndarray, length: int, lead: int, keep_text: bool, carr
 
 
 def tag_of(text: Column) -> Column:
-    """Tells apart rows that share a doc_id but not the text."""
-    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 16)).cast("int")
+    """Tells apart rows that share a doc_id but not the text: a whole 64-bit hash, since a table may have many rows of one id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
@@ -396,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep
     ranges = windows.groupBy("bucket").applyInArrow(_compare_windows(length), _RANGES)
     found = ranges.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     whole = held.join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "codes", "ranges", *extra)
-    schema = "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept string" + "".join(f", `{c}` {tagged.schema[c].dataType.simpleString()}" for c in extra)
+    schema = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept string" + "".join(f", `{c}` {tagged.schema[c].dataType.simpleString()}" for c in extra)
     out = whole.mapInArrow(_remove(splitters, length, lead, keep_text, len(extra)), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
 

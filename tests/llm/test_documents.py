@@ -126,6 +126,19 @@ def test_removed_bytes_equal_brute_force(documents, odd_documents, monkeypatch,
     assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept)) for r in got.collect()) == brute_removed(rows)
 
 
+def test_many_texts_of_one_id_keep_apart(documents):
+    """Each text repeats another part of one passage, so marks of another text would cut clean bytes."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    rows = [(1, passage)]
+    for i in range(3000):
+        at, n = rng.randrange(3900), rng.randrange(20, 100)
+        own = "".join(rng.choice("ijklmnop") for _ in range(rng.randrange(60)))
+        rows.append((None if i % 2 else 7, own + passage[at : at + n]))
+    got = suffix_dedup.remove_repeats(documents(rows)).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept)) for r in got) == brute_removed(rows)
+
+
 def test_texts_without_repeats_keep_the_columns(odd_documents):
     cut = suffix_dedup.without_repeats(odd_documents)
     assert cut.columns == odd_documents.columns and cut.dtypes == odd_documents.dtypes
