@@ -139,6 +139,46 @@ def test_many_texts_of_one_id_keep_apart(documents):
     assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept)) for r in got) == brute_removed(rows)
 
 
+def phrased(rng, n):
+    """A phrase of 40 bytes, and one of 64, in all texts; most neighbours differ, some are shared."""
+    menu, notice = "".join(rng.choice("abcdefgh ") for _ in range(40)), "".join(rng.choice("ijklmnop ") for _ in range(64))
+    around = ["".join(rng.choice("qrstuvw") for _ in range(30)) for _ in range(n)]
+    return [(3 * i % n, around[i] + menu + around[-1 - i // 7] + notice + around[i // 2]) for i in range(n)]
+
+
+def test_hot_keys_equal_brute_force(documents, monkeypatch):
+    rows = phrased(random.Random(8), 400) + [(None, t) for _, t in phrased(random.Random(9), 40)]
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 64)
+    plan = suffix_dedup.plan_of(documents(rows), len(rows), 20, 50, 24)
+    assert 0 < len(plan.hot) < 200
+    got = suffix_dedup.remove_repeats(documents(rows))
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept)) for r in got.collect()) == brute_removed(rows)
+
+
+def test_a_hot_key_is_no_single_group(documents, monkeypatch):
+    """No bucket gets more than a few times its share of the regions and windows around a phrase that all texts hold."""
+    rng, largest, kind = random.Random(10), [], type(documents([]))
+    menu = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    rows = [(i, "".join(rng.choice("qrstuvw") for _ in range(30)) + menu + "".join(rng.choice("xyzXYZ") for _ in range(30))) for i in range(2000)]
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 10_000)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 200, raising=False)
+    grouped = kind.groupBy
+
+    def seen(df, *by):
+        if by == ("bucket",):
+            sizes = [sum(len(r[c] or b"") for c in df.columns if c in ("blob", "hot")) for r in df.collect()]
+            per = {}
+            for r, n in zip(df.select("bucket").collect(), sizes):
+                per[r.bucket] = per.get(r.bucket, 0) + n
+            largest.append(max(per.values()) / sum(per.values()))
+        return grouped(df, *by)
+
+    monkeypatch.setattr(kind, "groupBy", seen)
+    suffix_dedup.remove_repeats(documents(rows)).collect()
+    assert len(largest) == 2 and max(largest) < 0.2
+
+
 def test_texts_without_repeats_keep_the_columns(odd_documents):
     cut = suffix_dedup.without_repeats(odd_documents)
     assert cut.columns == odd_documents.columns and cut.dtypes == odd_documents.dtypes
