@@ -2,7 +2,8 @@
 
 Each source's target is met by whole passes over the source plus a subset of its documents. The subset is
 fitted on how many documents of each exact length there are: an even share of every length, then the longest
-that fit, then a bounded-knapsack program for the last words. Seeded numbers choose the documents of a length.
+that fit, then a bounded-knapsack program for the last words, then exchanges of documents of any length for what
+is still open. Seeded numbers choose the documents of a length.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from panelry.llm.shared import numbered, saved, unused
 
 #: The budget, in words, that the knapsack program resolves exactly.
 REACH = 1 << 15
+#: Documents whose exchange is searched as a whole: half of them give a table of 32,768 sums.
+EXCHANGED = 30
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,7 +60,8 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, reach: in
     """How many documents of each length to take so that their words come near ``budget``.
 
     An even share of every length goes first, then the longest that fit until at most ``reach`` words are
-    open, then a bounded-knapsack program over the open words picks the sum nearest to them.
+    open, then a bounded-knapsack program over the open words picks the sum nearest to them. What is still open, as
+    where all documents left are longer than that, ``exchange`` brings down.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -102,6 +106,63 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, reach: in
         i, n, step = parts[parent[at]]
         take[i] += n
         at -= step
+    return exchange(lengths, counts, take, budget)
+
+
+def exchange(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: float) -> np.ndarray:
+    """Take documents or give some back while that brings the words nearer to ``budget``.
+
+    First the best of one taken, one given back, or one for one, as often as it helps. Then ``EXCHANGED`` documents
+    are searched for the best of all their subsets; up to so many documents the result is exact.
+    """
+    take, used = take.copy(), np.flatnonzero(lengths > 0)
+    miss = lambda: budget - float((take * lengths).sum())
+    while abs(miss()) >= 1:
+        more, less = used[take[used] < counts[used]], used[take[used] > 0]
+        up, down = np.append(0, lengths[more]), np.append(0, lengths[less])
+        by_size = np.argsort(down, kind="stable")
+        want = up - miss()
+        near = np.clip(np.searchsorted(down[by_size], want)[:, None] + np.array([-1, 0]), 0, len(down) - 1)
+        error = np.abs(down[by_size][near] - want[:, None])
+        a, b = np.unravel_index(int(np.argmin(error)), error.shape)
+        if error[a, b] >= abs(miss()):
+            break
+        gives = by_size[near[a, b]]
+        if a:
+            take[more[a - 1]] += 1
+        if gives:
+            take[less[gives - 1]] -= 1
+    if abs(miss()) < 1:
+        return take
+    # Rounds over the lengths until enough documents are in the pool, a free and a taken one of each.
+    pool: list[tuple[int, int]] = []
+    free, taken = counts[used] - take[used], take[used].copy()
+    spread = used[np.unique(np.linspace(0, max(0, len(used) - 1), EXCHANGED).astype(int))] if len(used) else used
+    for turn in range(EXCHANGED):
+        for i in spread:
+            k = int(np.searchsorted(used, i))
+            pool += [(int(i), sign) for sign, left in ((1, free[k]), (-1, taken[k])) if left > turn]
+        if len(pool) >= EXCHANGED:
+            break
+    pool = pool[:EXCHANGED]
+
+    def sums(part: list[tuple[int, int]]) -> np.ndarray:
+        out = np.zeros(1, np.int64)
+        for i, sign in part:
+            out = np.concatenate((out, out + sign * lengths[i]))
+        return out
+
+    half = len(pool) // 2
+    left, right = sums(pool[:half]), sums(pool[half:])
+    by_size = np.argsort(right, kind="stable")
+    want = miss() - left
+    near = np.clip(np.searchsorted(right[by_size], want)[:, None] + np.array([-1, 0]), 0, len(right) - 1)
+    error = np.abs(right[by_size][near] - want[:, None])
+    a, b = np.unravel_index(int(np.argmin(error)), error.shape)
+    if error[a, b] < abs(miss()):
+        for mask, part in ((int(a), pool[:half]), (int(by_size[near[a, b]]), pool[half:])):
+            for k, (i, sign) in enumerate(part):
+                take[i] += sign * (mask >> k & 1)
     return take
 
 

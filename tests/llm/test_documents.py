@@ -260,6 +260,28 @@ def test_fit_counts_is_exact_where_it_can_be():
         assert abs((take * lengths).sum() - budget) <= min(abs(s - budget) for s in sums) + lengths.max()
 
 
+def test_fit_counts_takes_long_documents():
+    """Documents longer than the knapsack's reach are fitted too, exactly where they are few."""
+    import numpy as np
+
+    assert mixing.fit_counts(np.array([100_000]), np.array([2]), 90_000.0).tolist() == [1]
+    assert mixing.fit_counts(np.array([100_000]), np.array([2]), 40_000.0).tolist() == [0]
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        lengths = np.unique(rng.integers(66_000, 400_000, 5))
+        counts = rng.integers(1, 4, len(lengths))
+        budget = rng.uniform(0, (lengths * counts).sum())
+        take = mixing.fit_counts(lengths, counts, budget)
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {s + int(n) * k for s in sums for k in range(c + 1)}
+        assert (take >= 0).all() and (take <= counts).all()
+        assert abs((take * lengths).sum() - budget) <= min(abs(s - budget) for s in sums) + 1
+    lengths = np.unique(rng.integers(66_000, 900_000, 5000))
+    budget = 0.37 * lengths.sum()
+    assert abs((mixing.fit_counts(lengths, np.ones(len(lengths), np.int64), budget) * lengths).sum() - budget) <= 5
+
+
 def test_mixed_documents_are_the_rows_taken(odd_documents):
     mixed = mixing.mixed_documents(odd_documents)
     assert mixed.columns == odd_documents.columns
