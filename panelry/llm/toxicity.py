@@ -1,8 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 The score is linear in the terms a text holds plus the inner products of all pairs' factors, so that pairs
-weigh what no single term shows. Terms are words and word beginnings, for languages that inflect. Weights
-and factors are shrunk to exactly nothing where they don't help, so long clean texts gather no noise.
+weigh what no single term shows. Terms are words and word beginnings, for languages that inflect. Only terms that tell
+the labels apart have weights; every term of at least two sampled texts has factors, since a pair may tell where its
+terms don't. A text's factors are divided by the root of how many it has, and weights and factors are shrunk to
+exactly nothing where they don't help, so long clean texts gather no noise.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ FACTORS, EPOCHS, RATE = 4, 8, 0.1
 #: Shrinkage per step: of a weight towards 0, and of a term's factors as one.
 WEIGHT_SHRINK, FACTOR_SHRINK = 2e-4, 2e-4
 BEGINNINGS = (4, 5, 6)
-#: Least likelihood ratio of a term that the machine looks at; chance alone reaches it about once in a thousand terms.
+#: Least likelihood ratio of a term that gets a weight; chance alone reaches it about once in a thousand terms.
 TELLING = 11.0
+#: Sampled texts that a term must be in to get factors.
+SEEN = 2
 LEAST = 0.5
 _SHIFT = np.uint64(64 - BITS)
 
@@ -65,12 +69,14 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> dict[st
     share = float(y.mean()) if len(y) else 0.0
     if 0 < share < 1:
         telling = tells_labels_apart(rows, y)
-        w_rows = [x[telling[x]] for x in rows]
+        seen = telling | (np.bincount(np.concatenate(rows), minlength=size) >= SEEN)
+        w_rows, v_rows = [x[telling[x]] for x in rows], [x[seen[x]] for x in rows]
         cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
         for _ in range(EPOCHS):
             for i in rng.permutation(len(y)):
-                x = w_rows[i]
-                vx = v[x]
+                x, pairing = w_rows[i], v_rows[i]
+                scale = 1 / np.sqrt(max(1, len(pairing)))
+                vx = v[pairing] * scale
                 total = vx.sum(axis=0)
                 z = bias + w[x].sum() + 0.5 * ((total * total).sum() - (vx * vx).sum())
                 slope = cost[i] * (logistic(np.array(z)) - y[i])
@@ -80,17 +86,17 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> dict[st
                 step = RATE / np.sqrt(g_w[x])
                 new = w[x] - step * slope
                 w[x] = np.sign(new) * np.maximum(0, np.abs(new) - step * WEIGHT_SHRINK)
-                slopes = slope * (total - vx)
-                g_v[x] += (slopes * slopes).mean(axis=1)
-                step = RATE / np.sqrt(g_v[x])[:, None]
-                new = vx - step * slopes
+                slopes = slope * scale * (total - vx)
+                g_v[pairing] += (slopes * slopes).mean(axis=1)
+                step = RATE / np.sqrt(g_v[pairing])[:, None]
+                new = v[pairing] - step * slopes
                 norm = np.sqrt((new * new).sum(axis=1, keepdims=True))
-                v[x] = new * np.maximum(0, 1 - step * FACTOR_SHRINK / np.maximum(norm, 1e-12))
-        v[~telling] = 0
+                v[pairing] = new * np.maximum(0, 1 - step * FACTOR_SHRINK / np.maximum(norm, 1e-12))
     else:
-        v[:] = 0
+        seen = np.zeros(size, bool)
         bias = 20.0 * (share - 0.5) if len(y) else -10.0
-    held = np.flatnonzero((w != 0) | (v != 0).any(axis=1))
+    # Terms whose factors are nothing are held too: they count for the scale.
+    held = np.flatnonzero(seen)
     return {"bias": np.array([bias]), "held": held.astype(float), "w": w[held], "v": v[held].ravel()}
 
 
@@ -109,9 +115,10 @@ def machine_score(model: dict[str, np.ndarray]):
             owner, at = pairs // (len(held) + 1), pairs % (len(held) + 1)
             own = slice(first, first + n)
             out[own] += np.bincount(owner, w[at], n)
+            many = np.maximum(1, np.bincount(owner, minlength=n))
             for f in range(FACTORS):
                 total = np.bincount(owner, v[at, f], n)
-                out[own] += 0.5 * (total * total - np.bincount(owner, v[at, f] ** 2, n))
+                out[own] += 0.5 * (total * total - np.bincount(owner, v[at, f] ** 2, n)) / many
         return logistic(out)
 
     return score

@@ -94,6 +94,30 @@ def test_interactions_raise_what_weights_miss():
     assert score([1, 2]) > 0 > max(score([]), score([1]), score([2]))
 
 
+@pytest.mark.parametrize("fillers", [5, 20])
+def test_pairs_tell_where_their_terms_do_not(fillers):
+    """Both terms or none are toxic, one alone is clean: each is in half of the texts of either label."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts, y = [], []
+    for i in range(2400):
+        toxic, first = i % 2, i // 2 % 2
+        own = (["gleep", "marn"] if first else []) if toxic else [["gleep", "marn"][first]]
+        texts.append(" ".join(rng.permutation(own + [f"f{k}" for k in rng.choice(100, fillers, replace=False)])))
+        y.append(toxic)
+    rows = [x for x in toxicity_rows(pa.array(texts[:1800]))]
+    score = toxicity.machine_score(toxicity.fit_machine(rows, np.array(y[:1800])))
+    assert ((score(pa.array(texts[1800:])) >= 0.5) == np.array(y[1800:])).mean() > 0.9
+
+
+def toxicity_rows(texts):
+    from panelry.llm.labelled import rows_of
+
+    return rows_of(toxicity.terms, texts)
+
+
 def test_quality_learns_and_holds_out(spark, documents):
     docs, labels = labelled(spark, documents)
     got = quality.score_quality(docs, labels).collect()
