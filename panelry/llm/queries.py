@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelry.llm import embedding_dedup, minhash_dedup, mixing, packing, quality, sharding, suffix_dedup, topk_search, toxicity, url_filter
+from panelry.llm import (
+    collocations, embedding_dedup, minhash_dedup, mixing, packing, quality, quality_rules, sharding, spelling, suffix_dedup, topk_search,
+    toxicity, url_filter,
+)
 from panelry.llm.shared import table
 
 # The rules of the url query.
@@ -60,7 +63,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.drop("score")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, first=2000)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.observed_words(table(spark, sf_dir, "documents")), times=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk_search, op2_minhash_dedup, op3_sharding, op4_url_filter, op5_toxicity, op6_quality, op7_embedding_dedup,
-    op8_packing, op9_mixing, op10_suffix_dedup,
+    op8_packing, op9_mixing, op10_suffix_dedup, op11_quality_rules, op12_collocations, op13_spelling,
 )}
