@@ -101,7 +101,7 @@ def run_candidates(y: np.ndarray, forms: list, cells: np.ndarray, period: int, m
 
 
 def fit_series(y: np.ndarray, period: int):
-    """Best form of one series: (form, aicc, alpha, beta, gamma, phi, level, trend, season) or None."""
+    """Best form of one series: (form, aicc, alpha, beta, gamma, phi, level, trend, season, lift, tilt) or None."""
     best = None
     for multiplicative in (False, True):
         forms = [
@@ -155,6 +155,6 @@ def fit_series(y: np.ndarray, period: int):
                 turned = np.roll(season, -(len(y) % period)).tolist() if form[2] != "N" else None
                 best = (
                     "".join(form), score, cell[0], cell[0] * cell[1], (1 - cell[0]) * cell[2], cell[3],
-                    level, trend, turned,
+                    level, trend, turned, cell[4], cell[5],
                 )
     return best

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from panelry.operators.tree_growing import Settings, grow_trees
 from panelry.sources.contracts import present
-from panelry.sources.io import read_table, shared_folder, shared_path
+from panelry.sources.io import read_table, shared_path, write_table
 
 # Predictors that do not use holdout sales, and the model settings.
 PREDICTORS = [
@@ -23,11 +26,11 @@ PREDICTORS = [
 ]
 SETTINGS = {
     "maxIter": 800, "maxDepth": 6, "minInstancesPerNode": 10, "stepSize": 0.03, "minInfoGain": 0.0,
-    "subsamplingRate": 0.8, "seed": 2026, "checkpointInterval": 10,
+    "subsamplingRate": 0.8, "seed": 2026,
 }
 UNKNOWN = "unknown"
 FILLED = "_filled"
-#: Training rows of one task; few small tasks keep the many short jobs of the trees cheap.
+#: Training rows of one task, as long as that needs no more tasks than can run at once.
 TASK_ROWS = 100_000
 
 
@@ -112,26 +115,61 @@ def fit_gbt(
 ) -> PipelineModel:
     """Fit the whole pipeline: index, one-hot with all levels, impute, assemble, drop constants, boost.
 
-    Numeric predictors that are always null are left out.
+    Numeric predictors that are always null are left out, and so are rows without a target.
 
-    An unseen category at prediction time gets the extra index the indexer keeps for it. The training
-    rows are cached while the trees grow; each tree is a pass over them on all executors. Every ten
-    trees the running predictions are checkpointed to the shared folder, so the lineage of 800 trees
-    stays short when an executor is lost.
+    An unseen category at prediction time gets the extra index the indexer keeps for it. All trees grow in one
+    Spark job, by tasks that run at the same time (``tree_growing``), so the cluster must not allocate executors
+    dynamically when there is more than one task. The result is an ordinary Spark ML model, whose first
+    tree counts whole and every later one by the step.
     """
-    shared_folder(train.sparkSession)
-    boost = GBTRegressor(
-        featuresCol="features", labelCol=target, predictionCol="_prediction",
-        **{**SETTINGS, **({"maxIter": trees} if trees else {})},
-    )
+    settings = {**SETTINGS, **({"maxIter": trees} if trees else {})}
     frame = _model_frame(train, predictors).select(*predictors, F.col(target).cast("double").alias(target))
-    frame = frame.coalesce(frame.count() // TASK_ROWS + 1).cache()
+    frame = frame.where(F.col(target).isNotNull()).cache()
     try:
-        return Pipeline(stages=[*_preparation(train, predictors), boost]).fit(frame)
+        tasks = min(frame.count() // TASK_ROWS + 1, train.sparkSession.sparkContext.defaultParallelism)
+        prepared = Pipeline(stages=_preparation(train, predictors)).fit(frame)
+        inputs = prepared.transform(frame)
+        rows = inputs.select(
+            F.col(target).alias("y"), F.xxhash64(*predictors, target).alias("key"), vector_to_array("features").alias("x")
+        )
+        kinds = _inputs(prepared, frame)
+        binary = [i for i, (_, levels) in enumerate(kinds) if levels]
+        nodes = grow_trees(rows, len(kinds), binary, Settings(
+            settings["maxIter"], settings["maxDepth"], settings["minInstancesPerNode"], settings["stepSize"],
+            settings["minInfoGain"], settings["subsamplingRate"], settings["seed"],
+        ), tasks)
+        return PipelineModel(stages=[*prepared.stages, _spark_model(nodes, len(kinds), target, settings)])
     finally:
         frame.unpersist()
 
 
+def _spark_model(nodes: DataFrame, features: int, target: str, settings: dict) -> GBTRegressionModel:
+    """A Spark ML model of the grown nodes: a model of one leaf is saved, gets the nodes, and is loaded again."""
+    spark = nodes.sparkSession
+    seed, grown = shared_path(spark, "leaf"), shared_path(spark, "trees")
+    leaf = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="_prediction", maxIter=1, maxDepth=0)
+    leaf.fit(spark.createDataFrame([(Vectors.sparse(features, []), 0.0)] * 2, ["features", target])).save(seed)
+    about = json.loads(spark.read.text(f"{seed}/metadata").first()[0])
+    about["numTrees"] = settings["maxIter"]
+    about["paramMap"] |= settings
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{grown}/metadata")
+    number = F.explode(F.sequence(F.lit(0), F.lit(settings["maxIter"] - 1)))
+    trees = read_table(spark, f"{seed}/treesMetadata", "parquet")
+    listed = trees.withColumn("treeID", number).withColumn("weights", F.when(F.col("treeID") == 0, 1.0).otherwise(settings["stepSize"]))
+    write_table(listed.select(*trees.columns), f"{grown}/treesMetadata")
+    saved = read_table(spark, f"{seed}/data", "parquet")
+    total = F.col("rows").cast("double")
+    split = F.struct(F.col("feature").alias("featureIndex"), F.array("threshold").alias("leftCategoriesOrThreshold"), F.lit(-1).alias("numCategories"))
+    data = nodes.select(F.col("tree").alias("treeID"), F.struct(
+        "id", "prediction", "impurity",
+        F.array(total, total * F.col("prediction"), total * (F.col("impurity") + F.col("prediction") * F.col("prediction"))).alias("impurityStats"),
+        F.col("rows").alias("rawCount"), "gain", F.col("left").alias("leftChild"), F.col("right").alias("rightChild"),
+        split.alias("split"),
+    ).alias("nodeData"))
+    write_table(data.to(saved.schema), f"{grown}/data")
+    return GBTRegressionModel.load(grown)
+
+
 def gbt_forecast(
     model: PipelineModel, test: DataFrame, predictors: Sequence[str], label: str = "Gradient Boosting"
 ) -> DataFrame:
@@ -144,12 +182,17 @@ def gbt_forecast(
     )
 
 
-def _feature_names(model: PipelineModel, frame: DataFrame) -> list[str]:
-    """Names of the model's inputs, read from the assembled vector's attributes."""
+def _inputs(model: PipelineModel, frame: DataFrame) -> list[tuple[str, bool]]:
+    """Name of each of the model's inputs and whether it is a level's 0 and 1, read from the assembled vector's attributes."""
     schema = model.transform(frame.limit(0)).schema["all_features"].metadata["ml_attr"]["attrs"]
-    attributes = sorted((a for group in schema.values() for a in group), key=lambda a: a["idx"])
+    attributes = sorted(((a["idx"], a["name"], kind == "binary") for kind, group in schema.items() for a in group))
     selector = next(stage for stage in model.stages if hasattr(stage, "selectedFeatures"))
-    return [attributes[i]["name"].removesuffix(FILLED).replace("_level_", "_") for i in selector.selectedFeatures]
+    chosen = [attributes[i] for i in selector.selectedFeatures]
+    return [(name.removesuffix(FILLED).replace("_level_", "_"), level) for _, name, level in chosen]
+
+
+def _feature_names(model: PipelineModel, frame: DataFrame) -> list[str]:
+    return [name for name, _ in _inputs(model, frame)]
 
 
 def gbt_importance(model: PipelineModel, train: DataFrame, predictors: Sequence[str]) -> DataFrame:

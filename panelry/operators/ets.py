@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(smoothing)
 # What the search returns per series.
 FIT_SCHEMA = (
     "form string, aicc double, alpha double, beta double, gamma double, phi double, "
-    "level double, trend double, season array<double>"
+    "level double, trend double, season array<double>, lift double, tilt double"
 )
 
 
@@ -54,7 +54,7 @@ def ets_selection(
 
     @F.pandas_udf(FIT_SCHEMA)
     def fit(values: pd.Series) -> pd.DataFrame:
-        empty = (None,) * 9
+        empty = (None,) * 11
         found = [smoothing.fit_series(np.asarray(y, dtype=float), period) or empty for y in values]
         return pd.DataFrame(found, columns=[field.split()[0] for field in FIT_SCHEMA.split(", ")])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelry.functions.expressions import exact, percent_where
+from panelry.operators.scans import with_moving
 from panelry.sources.io import materialize
 
 
@@ -16,16 +17,15 @@ def daily_total(panel: DataFrame) -> DataFrame:
 def with_moving_average(daily: DataFrame, days: int = 30, value: str = "units", name: str = "ma30") -> DataFrame:
     """Moving average over the current and the previous rows, null until ``days`` rows exist.
 
-    Takes one row per day: the window has no partition key, and the day count bounds it.
+    Takes one row per day. The order is cut into blocks with a halo of ``days`` - 1 rows, so no task sees it whole.
     """
-    frame = Window.orderBy("date").rowsBetween(1 - days, 0)
-    return daily.withColumn(
-        name, F.when(F.count(F.lit(1)).over(frame) == days, F.avg(value).over(frame))
+    return with_moving(
+        daily, "date", days, lambda frame: {name: F.when(F.count(F.lit(1)).over(frame) == days, F.avg(value).over(frame))}
     )
 
 
 def daily_total_ma30(panel: DataFrame, days: int = 30) -> DataFrame:
-    """Daily totals with their 30-day moving average. Aggregates first, so the window sees days only."""
+    """Daily totals with their 30-day moving average. Aggregates first, so the windows see days only."""
     return with_moving_average(daily_total(panel), days)
 
 

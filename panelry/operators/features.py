@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelry.functions.expressions import flag, iso_weekday, missing, percent_where
+from panelry.operators.scans import with_fills
 from panelry.sources.contracts import require_columns
 
 # Feature windows and the distance that stands for "no event known".
@@ -117,28 +118,21 @@ def calendar_features(df: DataFrame, date: str = "date") -> DataFrame:
 def event_calendar(panel: DataFrame) -> DataFrame:
     """Distance of each day to the last and the next event day.
 
-    The days are made distinct first. That bounds the two unpartitioned fills by the number of days.
+    The days are made distinct first; both fills run in blocks of the order that hand over their last and first event.
     """
     event_day = F.when(F.col("is_event") == 1, F.col("date"))
-    by_date = Window.orderBy("date")
-    last_event = F.last(event_day, ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, 0))
-    backwards = Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
-    next_event = F.min(event_day).over(backwards)
     since, until = F.col("days_since_event"), F.col("days_until_event")
 
     def within(days: int) -> Column:
         return flag((F.coalesce(since, F.lit(FAR_AWAY)) <= days) | (F.coalesce(until, F.lit(FAR_AWAY)) <= days))
 
-    return (
-        panel.select("date", "is_event")
-        .distinct()
-        .select(
-            "date",
-            F.datediff("date", last_event).alias("days_since_event"),
-            F.datediff(next_event, "date").alias("days_until_event"),
-        )
-        .withColumns({"within_3_days_of_event": within(3), "within_7_days_of_event": within(7)})
-    )
+    days = panel.select("date", "is_event").distinct()
+    filled = with_fills(days, "date", event_day, "_last_event", "_next_event")
+    return filled.select(
+        "date",
+        F.datediff("date", "_last_event").alias("days_since_event"),
+        F.datediff("_next_event", "date").alias("days_until_event"),
+    ).withColumns({"within_3_days_of_event": within(3), "within_7_days_of_event": within(7)})
 
 
 def join_event_calendar(panel: DataFrame, events: DataFrame) -> DataFrame:
