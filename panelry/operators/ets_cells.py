@@ -51,7 +51,7 @@ def with_start(rows: DataFrame, period: int) -> DataFrame:
 
 def _first_state(flags: dict[str, Column], lift: Column, tilt: Column) -> Column:
     effect = lambda c: F.when(~flags["seasonal"], F.when(flags["times"], 1.0).otherwise(0.0)).when(
-        flags["times"], c / F.col("_overall")).otherwise(c - F.col("_overall"))
+        flags["times"], F.try_divide(c, F.col("_overall"))).otherwise(c - F.col("_overall"))
     zero = F.lit(0.0)
     return F.struct(
         (F.col("_overall") + lift * F.col("_spread")).alias("level"),
@@ -68,8 +68,8 @@ def _step(state: Column, y: Column, place: Column, period: int) -> dict[str, Col
     effect = F.get(state["season"], place)
     expected = F.when(times, base * effect).otherwise(base + effect)
     gap = y - expected
-    pull = F.when(times, gap / effect).otherwise(gap)
-    moved = effect + F.col("gamma") * F.when(times, gap / base).otherwise(gap)
+    pull = F.when(times, F.try_divide(gap, effect)).otherwise(gap)
+    moved = effect + F.col("gamma") * F.when(times, F.try_divide(gap, base)).otherwise(gap)
     return {
         "expected": expected, "gap": gap, "level": base + F.col("alpha") * pull, "trend": slope + F.col("beta") * pull,
         "season": F.transform(state["season"], lambda s, j: F.when(j == place, moved).otherwise(s)),
@@ -81,7 +81,7 @@ def _folded(period: int) -> Column:
 
     def advance(state: Column, day: Column) -> Column:
         now = _step(state, day["y"], day["j"], period)
-        ratio = now["gap"] / now["expected"]
+        ratio = F.try_divide(now["gap"], now["expected"])
         return F.struct(
             now["level"].alias("level"), now["trend"].alias("trend"), now["season"].alias("season"),
             (state["squared"] + now["gap"] * now["gap"]).alias("squared"), (state["relative"] + ratio * ratio).alias("relative"),
@@ -110,7 +110,7 @@ def scored_cells(rows: DataFrame, period: int = 7) -> DataFrame:
     relative = n * F.log(F.greatest(F.col("state.relative"), F.lit(TINY))) + 2 * F.col("state.logs")
     spare = n - count - 1
     fits = (spare > 0) & (~(flags["relative"] | flags["times"]) | (F.array_min("values") > 0)) & (~flags["seasonal"] | (n >= 2 * period))
-    value = F.when(flags["relative"], relative).otherwise(additive) + 2 * count + 2 * count * (count + 1) / spare
+    value = F.when(flags["relative"], relative).otherwise(additive) + 2 * count + F.try_divide(2 * count * (count + 1), spare)
     helpers = [c for c in done.columns if c.startswith("_")]
     return done.withColumn("aicc", F.when(fits, F.nanvl(value, F.lit(None)))).drop(*helpers)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelry.operators import boosting, cleaning, ets, evaluation, exploration, features, naive, reports
+from panelry.operators import boosting, cleaning, ets, ets_cells, evaluation, exploration, features, naive, reports
 from panelry.sources import contracts, io, retail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +208,25 @@ def _ets(spark, d):
     return ets.ets_selection(train, spread=parallel(spark))
 
 
+#: The cell whose states are listed.
+STATE_CELL = ("AAdA", 0.2, 0.05, 0.1, 0.9)
+
+
+def _training_units(spark, d):
+    return evaluation.train_test_split(stored_units(spark, d), HORIZON)[0]
+
+
+def _ets_cells(spark, d):
+    return ets_cells.ets_cells(_training_units(spark, d))
+
+
+def _ets_rescored(spark, d):
+    """Whether the fold gives the searched winner of each series the AICc that the search gave it."""
+    train = io.materialize(_training_units(spark, d), "train")
+    both = ets_cells.rescored(train, ets.ets_selection(train, spread=parallel(spark)))
+    return both.select("cat_id", (F.abs(F.col("aicc") - F.col("searched_aicc")) <= 1e-6 * F.abs("aicc")).alias("agrees"))
+
+
 def _gbt_forecast(spark, d):
     model, _, test, names = fitted_gbt(spark, d)
     return boosting.gbt_forecast(model, test, names)
@@ -360,12 +379,18 @@ QUERIES: dict[str, Query] = {
     "seasonal_naive_forecast": _seasonal_naive,
     "ets_selection": _ets,
     "ets_forecast": lambda s, d: ets.ets_forecast(_ets(s, d), HORIZON),
+    "ets_cells": lambda s, d: tidy(_ets_cells(s, d).drop("season", "observations")),
+    "ets_cell_forecast": lambda s, d: tidy(ets.ets_forecast(ets_cells.best_cell(_ets_cells(s, d)), HORIZON)),
+    "ets_states": lambda s, d: tidy(ets_cells.ets_states(_training_units(s, d), STATE_CELL)),
+    "ets_rescored": _ets_rescored,
     "gbt_predictors": _predictors,
     "median_imputed_features": _imputed,
     "zero_variance_columns": _zero_variance,
     "gbt_model_frame": _encoded,
     "gbt_forecast": _gbt_forecast,
+    "gbt_forecast_rows": lambda s, d: _gbt_forecast(s, d).select("date", "cat_id", "model", (F.col("predicted") >= 0).alias("not_negative")),
     "gbt_importance": _gbt_importance,
+    "gbt_importance_totals": lambda s, d: _gbt_importance(s, d).agg(*[F.round(F.sum(c), 9).alias(c) for c in ("gain", "cover", "frequency")]),
     "top_importance": lambda s, d: reports.top_importance(_gbt_importance(s, d)),
     # evaluation
     "forecast_errors": lambda s, d: tidy(naive_errors(s, d)),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from panelry.operators.boosting import PREDICTORS
 from panelry.operators.cleaning import DAILY_KEYS
+from panelry.operators.ets_cells import CELLS, TINY
 from panelry.operators.features import FEATURE_DICTIONARY
 from panelry.operators.reports import FEATURE_TABLE_COLUMNS, MISSINGNESS_FEATURES, ROUNDED_COLUMNS
 from panelry.plans.catalog import (
-    CATEGORY, DATE_FROM, DATE_TO, HISTORY_FEATURE, HORIZON, MODELS, PRICE_WIDTH, SEASONS, SELECTED, STORE,
+    CATEGORY, DATE_FROM, DATE_TO, HISTORY_FEATURE, HORIZON, MODELS, PRICE_WIDTH, SEASONS, SELECTED, STATE_CELL, STORE,
 )
 
 UNITS = "case when l_returnflag <> 'R' then l_quantity else 0.0 end"
@@ -305,6 +306,67 @@ ROUND_TRIP = sql(
 )
 EFFECT = "select {0}, avg(units_sold) average_units, case when {0} = 1 then '{1} day' else 'Non-{2} day' end {3} from panel group by {0}"
 
+
+
+def smoothing_views(cells: list[tuple]) -> str:
+    """Recursive views of every cell on every category: ``run`` has the state before day t, ``scored`` the AICc."""
+    rows = ", ".join(f"({i}, '{f}', {a}, {b}, {g}, {p})" for i, (f, a, b, g, p) in enumerate(cells))
+    views = ", ".join(f"{name} as ({text})" for name, text in VIEWS.items())
+    return f"""with recursive {views},
+    y as (select cat_id, date, cast(units_sold as double) y, row_number() over (partition by cat_id order by date) - 1 t from train),
+    heads as (select cat_id, list(y order by t) filter (t < 28) h, count(*) n, max(date) last_date, min(y) low from y group by cat_id),
+    means as (select *, list_sum(h) / len(h) overall from heads),
+    starts as (
+      select *, sqrt(list_sum([(v - overall) * (v - overall) for v in h]) / len(h)) spread,
+        (list_sum(h[greatest(len(h) - 6, 1) :]) / len(h[greatest(len(h) - 6, 1) :]) - list_sum(h[:7]) / len(h[:7])) / greatest(len(h) - 7, 1) rise,
+        [coalesce(list_sum([v for v, i in h if (i - 1) % 7 = j]) / len([v for v, i in h if (i - 1) % 7 = j]), overall) for j in range(7)] cycle
+      from means
+    ),
+    cells(cell, form, alpha, beta, gamma, phi) as (values {rows}),
+    run(cat_id, cell, form, alpha, beta, gamma, phi, t, level, trend, season, squared, relative, logs, expected, effect) as (
+      select cat_id, cell, form, cast(alpha as double), cast(beta as double), cast(gamma as double), cast(phi as double), 0, overall,
+        case when form[2] = 'A' then rise else 0.0 end,
+        [case when form[-1] = 'N' then case when form[-1] = 'M' then 1.0 else 0.0 end when form[-1] = 'M' then c / overall else c - overall end for c in cycle],
+        0.0::double, 0.0::double, 0.0::double, null::double, null::double
+      from starts, cells
+      union all
+      select cat_id, cell, form, alpha, beta, gamma, phi, t + 1, base + alpha * pull, slope + beta * pull,
+        [case when j - 1 = t % 7 then moved else s end for s, j in season],
+        squared + gap * gap, relative + (gap / expected) * (gap / expected), logs + ln(nullif(abs(expected), 0)), expected, moved
+      from (
+        select *, case when form[-1] = 'M' then gap / effect else gap end pull,
+          effect + gamma * case when form[-1] = 'M' then gap / base else gap end moved
+        from (
+          select *, y - expected gap from (
+            select *, case when form[-1] = 'M' then base * effect else base + effect end expected from (
+              select r.cat_id, cell, form, alpha, beta, gamma, phi, r.t, season, squared, relative, logs, y,
+                phi * trend slope, level + phi * trend base, season[cast(r.t % 7 as int) + 1] effect
+              from run r join y on y.cat_id = r.cat_id and y.t = r.t
+            )
+          )
+        )
+      )
+    ),
+    ended as (
+      select r.*, n, last_date, low,
+        1 + 2 * cast(form[2] = 'A' as int) + 7 * cast(form[-1] <> 'N' as int) + cast(contains(form, 'Ad') as int) + 2 k
+      from run r join heads h on r.cat_id = h.cat_id and r.t = h.n
+    ),
+    scored as (
+      select *, case when form[1] = 'M' then n * ln(greatest(relative, {TINY})) + 2 * logs else n * ln(greatest(squared, {TINY})) end
+          + 2 * k + 2 * k * (k + 1) / (n - k - 1) aicc
+      from ended where n - k - 1 > 0 and (form[1] <> 'M' and form[-1] <> 'M' or low > 0) and (form[-1] = 'N' or n >= 14)
+    ),
+    placed as (select *, row_number() over (partition by cat_id order by aicc, cell) place from scored where not isnan(aicc))"""
+
+
+def rounded(select: str, names: str) -> str:
+    return f", result as ({select}) select * replace ({', '.join(f'round({c}, 6) + 0.0 as {c}' for c in names.split())}) from result"
+
+
+SMOOTHED = smoothing_views(CELLS)
+STATES = smoothing_views([STATE_CELL])
+
 ORACLES: dict[str, str] = {
     "csv_round_trip": ROUND_TRIP,
     "parquet_round_trip": ROUND_TRIP,
@@ -437,6 +499,24 @@ ORACLES: dict[str, str] = {
     "category_features": sql("select * from features", f"average_price {CYCLIC} {HISTORY} {PRICING}", "revenue"),
     "product_features": sql("select * from pfeatures", f"sell_price {CYCLIC} {HISTORY} {PRICING}"),
     "seasonal_naive_forecast": sql("select * from naive where model = 'Seasonal Naive'"),
+    "ets_cells": SMOOTHED + rounded(
+        "select cat_id, last_date, cell, form, alpha, beta, gamma, phi, aicc, cast(place as int) rank, level, trend from placed",
+        "alpha beta gamma phi aicc level trend",
+    ),
+    "ets_cell_forecast": SMOOTHED + rounded(
+        """select cast(last_date + cast(h as int) as date) as date, cat_id, 'ETS' model, greatest(0.0, case
+               when form[-1] = 'N' then base when form[-1] = 'M' then base * effect else base + effect end) predicted
+           from (select *, level + trend * case when contains(form, 'Ad') then phi * (1 - power(phi, h)) / (1 - phi) else h end base,
+                   season[cast((n + h - 1) % 7 as int) + 1] effect
+                 from placed, range(1, 29) x(h) where place = 1)""",
+        "predicted",
+    ),
+    "ets_states": STATES + rounded(
+        "select cat_id, cast(t - 1 as int) day_number, expected, level, trend, effect from run where t > 0", "expected level trend effect"
+    ),
+    "ets_rescored": sql("select distinct cat_id, true agrees from train"),
+    "gbt_forecast_rows": sql("select date, cat_id, 'Gradient Boosting' model, true not_negative from test"),
+    "gbt_importance_totals": "select 1.0::double gain, 1.0::double cover, 1.0::double frequency",
     "gbt_predictors": sql(
         f"select date, units_sold, {', '.join(PREDICTORS)} from features", f"{CYCLIC} average_price price_relative_to_28_day_mean"),
     "median_imputed_features": sql(
