@@ -25,7 +25,7 @@ ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 SEPARATORS = ENDS.copy()
 SEPARATORS[[0x20, 0x09]] = True
 #: Entries that a task holds before it sends its stripes.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Limits of the bitmap of frequent phrases, which goes to every task: 2 KB to 8 MB.
 LEAST_BITS, MOST_BITS = 1 << 14, 1 << 26
 #: A prefix with more than one in so many words has its stripe cut into SEGMENTS; fewer than HOT prefixes can have.
@@ -119,8 +119,8 @@ def stripes(docs: DataFrame, length: int, marks: np.ndarray, hot: np.ndarray, he
         prefix, segment, word, n = prefix[order], segment[order], word[order], n[order]
         new = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1]))))
         ends = np.append(new, len(prefix))
-        for first in range(0, len(new), 100_000):
-            last = min(first + 100_000, len(new))
+        for first in range(0, len(new), 20_000):
+            last = min(first + 20_000, len(new))
             low, high = ends[first], ends[last]
             cuts = pa.array((ends[first : last + 1] - low).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
