@@ -110,10 +110,11 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts of documents labelled good. A bitmap of fixed size keeps most other texts away from the join's shuffle."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = good.select((slot / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("bit"))
-    held = words.groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    bitmap = held.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
-    bitmap = bitmap.select(F.transform(F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("m"))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))")
+    held = good.groupBy((slot / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits"))
+    every = docs.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("at"))
+    filled = every.join(held, "at", "left").select(F.struct("at", F.coalesce("bits", F.lit(0)).alias("bits")).alias("s"))
+    bitmap = filled.agg(F.array_sort(F.collect_list("s"))["bits"].alias("m"))
     # Few rows, but written once: the filter is then a constant of the plan that reads the texts.
     bits = saved(bitmap, "good").scalar()
     may_hold = F.expr(f"cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int)")
