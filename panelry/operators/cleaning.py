@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelry.functions.expressions import WEEKEND, exact, flag, is_in, missing, percent_where, total, weighted_mean
+from panelry.operators.duplicates import duplicate_rows  # noqa: F401
 
 # The keys of the daily roll-up.
 DAILY_KEYS = [
@@ -128,16 +129,6 @@ def missing_summary(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*entries)))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Number of rows that repeat an earlier row in every column."""
-    columns = [F.col(f"`{name}`") for name in df.columns]
-    return (
-        df.groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
-    )
-
-
 def sales_profile(df: DataFrame) -> DataFrame:
     """Rows, items, stores, date range and missing dates and prices of the fact table.
 

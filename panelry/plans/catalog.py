@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelry.operators import boosting, cleaning, ets, ets_cells, evaluation, exploration, features, naive, reports
-from panelry.sources import contracts, io, retail
+from panelry.operators import (
+    asof, boosting, cleaning, distinct_counts, ets, ets_cells, evaluation, exploration, features, naive, reports, selection,
+)
+from panelry.sources import contracts, io, retail, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,7 +73,7 @@ def filtered_features(spark, d):
 
 
 def product_sales(spark, d):
-    selected = exploration.select_top_products(retail.product_days(spark, d), SELECTED)
+    selected = exploration.select_top_products(retail.item_totals(spark, d), SELECTED)
     return retail.product_panel(spark, d, selected)
 
 
@@ -302,6 +304,100 @@ def _join_prices(spark, d):
     return tidy(cleaning.join_prices(keyed, retail.prices(spark, d)))
 
 
+def _active_items(spark, d):
+    """Distinct items sold per day, week, month and store, all from one stored table of bitmaps."""
+    sold = retail.numbered_lines(spark, d).where("units > 0").select("store_no", "item_id", "date", F.trunc("date", "month").alias("month"))
+    bitmaps = io.materialize(distinct_counts.item_bitmaps(sold, "item_id", [["date"], ["store_no", "month"]]), "bitmaps")
+    day, text = F.col("date"), lambda c: c.cast("string")
+    parts = [
+        distinct_counts.distinct_items(bitmaps, level, key, "member").withColumn("grain", F.lit(grain))
+        for grain, level, key in (
+            ("day", 0, text(day)), ("week", 0, text(retail.iso_week_key("date"))), ("month", 0, F.date_format(day, "yyyy-MM")), ("store", 1, text(F.col("store_no"))),
+        )
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("grain", "member", "active_items")
+
+
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _price_quartiles(spark, d):
+    """Exact quartiles of the lines' extended price per return flag."""
+    prices = retail.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"))
+    return selection.exact_quantiles(prices, "price", QUARTILES, ["flag"])
+
+
+def _selected_medians(spark, d):
+    """The training median of every numeric predictor by selection, as the model's imputation uses them."""
+    train = evaluation.train_test_split(stored_features(spark, d), HORIZON)[0]
+    names = [name for name in boosting.gbt_predictors(train) if dict(train.dtypes)[name] != "string"]
+    long = train.select([F.col(n).cast("double").alias(n) for n in names]).unpivot([], names, "feature", "value")
+    return selection.exact_quantiles(long, "value", [0.5], ["feature"]).select("feature", F.col("value").alias("median"))
+
+
+def _bucketed_prices(spark, d):
+    """Store-item-week sales with the week's price: both tables bucketed by the key of the join."""
+    keys = ["store_no", "item_id", "wm_yr_wk"]
+    lines = retail.numbered_lines(spark, d).withColumn("wm_yr_wk", retail.iso_week_key("date"))
+    facts = stored.bucketed(lines.groupBy("date", *keys).agg(F.sum("units").alias("sales")), "facts", keys)
+    prices = stored.bucketed(lines.where("unit_price is not null").groupBy(*keys).agg(F.max("unit_price").alias("sell_price")), "prices", keys)
+    return facts.join(prices, keys, "left")
+
+
+def _bucketed_selection(spark, d):
+    """Item days of the best products: a semi-join of two tables bucketed by item."""
+    days = stored.bucketed(retail.product_days(spark, d).select("item_id", "date", "sales"), "days", ["item_id"])
+    best = stored.bucketed(exploration.top_products(retail.item_totals(spark, d), SELECTED).select("item_id"), "best", ["item_id"])
+    return days.join(best, "item_id", "left_semi")
+
+
+def panel_by_month(spark, d):
+    return stored.by_month(unpriced(spark, d).select("date", "cat_id", "units_sold", "revenue", "is_event"), label="panel")
+
+
+def _pruned_panel(spark, d):
+    """The chosen dates and category, from a panel stored by month: only months with a chosen date are read."""
+    panel = panel_by_month(spark, d)
+    dates = retail.calendar(spark, d).select("date").where(F.col("date").between(DATE_FROM, DATE_TO))
+    return stored.between_days(panel, dates).where(F.col("cat_id") == CATEGORY).drop("year_month")
+
+
+def _pruned_holdout(spark, d):
+    """The last days of the stored panel: which ones a query over the days finds out."""
+    panel = panel_by_month(spark, d)
+    days = retail.calendar(spark, d).select("date")
+    last = days.agg(F.max("date")).scalar()
+    return stored.between_days(panel, days.where(F.col("date") > F.date_sub(last, HORIZON))).drop("year_month")
+
+
+def _kept_up_rollup(spark, d):
+    """Monthly sales per store, loaded from the years before 1998 and then added to: later years, and lines received late."""
+    # The tables hold no day of receipt: a line is received up to six weeks after its day.
+    received = F.date_add(F.col("l_shipdate").cast("date"), F.pmod(F.col("l_orderkey"), F.lit(43)).cast("int"))
+    lines = retail.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("date").alias("date"), received.alias("received"),
+        F.col("l_quantity").alias("quantity"), F.lit(1).cast("long").alias("lines"),
+    )
+    rollup = stored.RollUp(io.shared_path(spark, "rollup"), ["supplier"], {"quantity": F.sum("quantity"), "lines": F.sum("lines")})
+    cutoff = F.lit("1998-01-01").cast("date")
+    early = F.coalesce(F.col("received") < cutoff, F.lit(False))
+    rollup.create(lines.where(early))
+    rollup.add(lines.where(~early))
+    return rollup.read(spark)
+
+
+def _price_asof(spark, d):
+    """Every item day with the price on record: the highest of the latest earlier week that has one."""
+    days = retail.product_days(spark, d)
+    week = F.floor((F.unix_date("date") + 3) / 7)
+    weekly = days.where("unit_price is not null").groupBy("item_id", week.alias("week")).agg(F.max("unit_price").alias("recorded_price"))
+    asked = days.select("item_id", "date", "sales", week.alias("week"))
+    return tidy(asof.asof_join(asked, weekly, ["item_id"], "week", ["recorded_price"]).drop("week"))
+
+
 MODELS = list(SEASONS)[:2]
 
 QUERIES: dict[str, Query] = {
@@ -333,8 +429,8 @@ QUERIES: dict[str, Query] = {
     "missing_summary_sales": lambda s, d: cleaning.missing_summary(fact(s, d)),
     "missing_summary_prices": lambda s, d: cleaning.missing_summary(retail.prices(s, d)),
     "duplicate_rows": _duplicate_rows,
-    "duplicate_rows_wide": lambda s, d: cleaning.duplicate_rows(store_wide(s, d)),
-    "missing_summary_wide": lambda s, d: cleaning.missing_summary(store_wide(s, d)),
+    "duplicate_rows_wide": lambda s, d: cleaning.duplicate_rows(io.materialize(retail.raw_wide(s, d), "wide")),
+    "missing_summary_wide": lambda s, d: cleaning.missing_summary(retail.raw_wide(s, d)),
     "duplicate_rows_calendar": lambda s, d: cleaning.duplicate_rows(retail.calendar(s, d)),
     "duplicate_rows_prices": lambda s, d: cleaning.duplicate_rows(retail.prices(s, d)),
     "sales_profile": lambda s, d: cleaning.sales_profile(fact(s, d)),
@@ -353,6 +449,15 @@ QUERIES: dict[str, Query] = {
     "split_validation": _split_validation,
     "forecast_validation": lambda s, d: evaluation.forecast_validation(naive_errors(s, d), evaluation.train_test_split(stored_units(s, d), HORIZON)[1], len(SEASONS)),
     "forecast_metadata": _metadata,
+    "active_items_rollup": _active_items,
+    "price_quartiles": lambda s, d: tidy(_price_quartiles(s, d)),
+    "selected_medians": lambda s, d: tidy(_selected_medians(s, d)),
+    "bucketed_prices": lambda s, d: tidy(_bucketed_prices(s, d)),
+    "bucketed_selection": lambda s, d: tidy(_bucketed_selection(s, d)),
+    "filter_panel_pruned": lambda s, d: tidy(_pruned_panel(s, d)),
+    "holdout_pruned": lambda s, d: tidy(_pruned_holdout(s, d)),
+    "rollup_kept_up": _kept_up_rollup,
+    "price_asof": _price_asof,
     # exploration
     "daily_total": lambda s, d: tidy(exploration.daily_total(unpriced(s, d))),
     "daily_total_ma30": lambda s, d: tidy(exploration.daily_total_ma30(unpriced(s, d))),
@@ -363,12 +468,12 @@ QUERIES: dict[str, Query] = {
     "snap_effect": lambda s, d: tidy(exploration.snap_effect(unpriced(s, d))),
     "price_demand_curve": lambda s, d: tidy(exploration.price_demand_curve(fact(s, d), PRICE_WIDTH)),
     "price_demand_fit": lambda s, d: tidy(exploration.price_demand_fit(fact(s, d))),
-    "product_totals": lambda s, d: exploration.top_k_strict(exploration.product_totals(retail.product_days(s, d)), "total_sales", 20, "item_id"),
+    "product_totals": lambda s, d: exploration.top_k_strict(exploration.product_totals(retail.item_totals(s, d)), "total_sales", 20, "item_id"),
     "product_summary": lambda s, d: tidy(products(s, d)),
-    "top_products": lambda s, d: exploration.top_products(retail.product_days(s, d)),
-    "top_products_strict": lambda s, d: exploration.top_k_strict(exploration.product_totals(retail.product_days(s, d)), "total_sales", 10, "item_id"),
-    "select_top_products": lambda s, d: exploration.select_top_products(retail.product_days(s, d), SELECTED),
-    "top_products_per_category": lambda s, d: exploration.top_products_per_category(retail.product_days(s, d)),
+    "top_products": lambda s, d: exploration.top_products(retail.item_totals(s, d)),
+    "top_products_strict": lambda s, d: exploration.top_k_strict(exploration.product_totals(retail.item_totals(s, d)), "total_sales", 10, "item_id"),
+    "select_top_products": lambda s, d: exploration.select_top_products(retail.item_totals(s, d), SELECTED),
+    "top_products_per_category": lambda s, d: exploration.top_products_per_category(retail.item_totals(s, d)),
     # features
     "calendar_features": lambda s, d: tidy(features.calendar_features(retail.calendar(s, d).select("date"))),
     "sales_history_features": lambda s, d: tidy(features.sales_history_features(retail.category_units(s, d), ["cat_id"], "units_sold")),

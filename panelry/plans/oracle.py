@@ -296,6 +296,9 @@ WIDE_LONG = """
     from spine cross join (select distinct state_id, cat_id from lines join products using (item_id))
          left join (select state_id, cat_id, date, sum(units) sales from lines join products using (item_id) group by all)
          using (state_id, cat_id, date)"""
+RAW_LONG = """
+    select store_id, dept_id, copy, date d, sum(units) sales from lines join products using (item_id), range(2) t(copy)
+    where copy = 0 or state_id = 'ASIA' group by all"""
 STORE_LONG = f"""
     select store_id, item_id, 'd_' || cast(date_diff('day', lo, date) + 1 as varchar) d, coalesce(sales, 0) sales
     from spine cross join (select distinct store_id, item_id from lines where store_id = '{STORE}')
@@ -403,12 +406,14 @@ ORACLES: dict[str, str] = {
     "duplicate_rows": """
         select cast((select count(*) from lineitem) - (select count(*) from (select distinct * from lineitem)) as bigint) duplicate_rows""",
     "duplicate_rows_wide": sql(
-        f"""select cast(count(*) - count(distinct {{'s': store_id, 'i': item_id, 'v': days}}) as bigint) duplicate_rows
-            from (select store_id, item_id, list(sales order by d) as days from ({STORE_LONG}) group by all)"""),
+        f"""select cast(count(*) - count(distinct {{'s': store_id, 'i': dept_id, 'v': days}}) as bigint) duplicate_rows
+            from (select store_id, dept_id, copy, list(struct_pack(d := d, s := sales) order by d) as days from ({RAW_LONG}) group by all)"""),
     "missing_summary_wide": sql(
-        f"""select d variable, cast(count_if(sales is null) as bigint) missing, round(100.0 * count_if(sales is null) / count(*), 2) percent
-            from ({STORE_LONG}) group by d
-            union all select unnest(['store_id', 'item_id']), 0, 0.0"""),
+        f"""select variable, missing, round(100.0 * missing / n, 2) "percent" from (
+              select 'd_' || (date_diff('day', lo, date) + 1) variable, any_value(n) n, cast(any_value(n) - count(r.d) as bigint) missing
+              from spine join (select count(*) n from (select distinct store_id, dept_id, copy from ({RAW_LONG}))) on true
+                   left join ({RAW_LONG}) r on r.d = date group by all
+              union all select unnest(['store_id', 'dept_id']), 1, 0)"""),
     "duplicate_rows_calendar": sql("select cast((select count(*) from cal) - (select count(*) from (select distinct * from cal)) as bigint) duplicate_rows"),
     "duplicate_rows_prices": sql("select cast((select count(*) from prices) - (select count(*) from (select distinct * from prices)) as bigint) duplicate_rows"),
     "sales_profile": sql(
@@ -462,6 +467,37 @@ ORACLES: dict[str, str] = {
                    (select count(distinct model) from errors) models_evaluated,
                    'Fixed 28-day chronological holdout' evaluation_type, 'WAPE' ranking_metric
             from features f cross join cutoff where f.date < test_from"""),
+    "active_items_rollup": sql(
+        """with sold as (select l.*, n_nationkey from lines l join nation on n_name = store_id where units > 0)
+           select 'day' grain, cast(date as varchar) member, count(distinct item_id) active_items from sold group by all
+           union all select 'week', cast(wm_yr_wk as varchar), count(distinct item_id) from sold join week using (date) group by all
+           union all select 'month', strftime(date, '%Y-%m'), count(distinct item_id) from sold group by all
+           union all select 'store', cast(n_nationkey as varchar), count(distinct item_id) from sold group by all"""),
+    "price_quartiles": """
+        select flag, probability, round(value, 6) + 0.0 value from (
+          select l_returnflag flag, unnest([0.25, 0.5, 0.75]) probability, unnest(quantile_cont(l_extendedprice, [0.25, 0.5, 0.75])) value
+          from lineitem group by l_returnflag)""",
+    "selected_medians": sql(
+        "unpivot (select " + ", ".join(f"median(cast({n} as double)) {n}" for n in PREDICTORS if n != "cat_id")
+        + " from (select f.* from features f cross join cutoff where date < test_from)) on * into name feature value median", "median"),
+    "bucketed_prices": sql(
+        """select n_nationkey store_no, f.item_id, wm_yr_wk, date, sales, sell_price
+           from item_days f join nation on n_name = store_id join week using (date) left join prices using (store_id, item_id, wm_yr_wk)""",
+        "sales sell_price"),
+    "bucketed_selection": sql("select item_id, date, sales from product_days join selected using (item_id)", "sales"),
+    "filter_panel_pruned": sql(
+        f"select date, cat_id, units_sold, revenue, is_event from panel where {IN_RANGE} and cat_id = '{CATEGORY}'", "units_sold", "revenue"),
+    "holdout_pruned": sql("select date, cat_id, units_sold, revenue, is_event from test", "units_sold", "revenue"),
+    "rollup_kept_up": f"""
+        select l_suppkey supplier, cast(date_trunc('month', {DAY}) as date) year_month, sum(l_quantity) quantity, count(*) lines
+        from lineitem group by all""",
+    "price_asof": sql(
+        """with weekly as (
+             select item_id, cast(date_trunc('week', date) as date) monday, max(unit_price) recorded_price from lines
+             where unit_price is not null group by all)
+           select p.item_id, p.date, p.sales, recorded_price from product_days p
+                asof left join weekly w on p.item_id = w.item_id and date_trunc('week', p.date) > w.monday""",
+        "sales recorded_price"),
     "daily_total": sql("select date, sum(units_sold) units, sum(revenue) revenue from panel group by date", "", "revenue"),
     "daily_total_ma30": sql(
         """select *, case when row_number() over (order by date) >= 30

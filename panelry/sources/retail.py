@@ -252,6 +252,28 @@ def product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net units per item with its category: lines are summed per item at once, and the products join the totals."""
+    kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)
+    totals = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("item_id")).agg(F.sum(kept).alias("sales"))
+    return totals.join(products(spark, sf_dir), "item_id")
+
+
+def raw_wide(spark: SparkSession, sf_dir: str, again: str = "ASIA") -> DataFrame:
+    """A raw wide delivery of all stores: one row per store and department, one ``d_`` column per day, null on days without
+    a line. The stores of the region ``again`` were delivered twice, so their rows repeat."""
+    bounds = day_bounds(spark, sf_dir).first()
+    days = (bounds.hi - bounds.lo).days + 1
+    sums = numbered_lines(spark, sf_dir).join(products(spark, sf_dir), "item_id").groupBy("store_no", "dept_id", "date").agg(F.sum("units").alias("sales"))
+    day = F.datediff("date", F.lit(bounds.lo))
+    rows = sums.groupBy("store_no", "dept_id").agg(F.map_from_entries(F.collect_list(F.struct(day, "sales"))).alias("_days"))
+    named = rows.join(stores(spark, sf_dir), "store_no").select(
+        "store_id", "dept_id", "state_id", F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.try_element_at("_days", i)).alias("_values")
+    )
+    times = F.explode(F.when(F.col("state_id") == again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return named.withColumn("_time", times).selectExpr("store_id", "dept_id", *[f"_values[{n}] as d_{n + 1}" for n in range(days)])
+
+
 def sold_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items that have a line: one narrow column of the lines, made distinct before the shuffle."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item_id")).distinct().join(products(spark, sf_dir).select("item_id"), "item_id", "left_semi")
