@@ -5,33 +5,39 @@ nearly independent signature values, so half as many permutations are evaluated;
 bands. Documents that share a band are candidates, and every link is confirmed on the full sets.
 
 No bucket emits all its pairs. Equal sets are one class from the start. Each bucket first links its members
-with its smallest one; where that leaves a bucket in several components, the rest of the bucket is compared
-in blocks, and only links that join components come out. So no link between candidates is lost, whatever a
+with its smallest one; where that leaves a bucket in several components, blocks of members are compared, a component's
+never with its own, and only links that join components come out. So no link between candidates is lost, whatever a
 bucket's size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelry.llm.shared import among, components, saved, unused
+from panelry.llm.shared import among, components, may_be_among, saved, unused
 from panelry.llm.text_arrays import Hasher, buffers, mix, runs, slices, word_spans
 
 WORDS = 5
-#: Two documents at 0.85 share no band with a probability of 1e-5.
-BANDS, PERMUTATIONS_PER_BAND = 24, 3
+PERMUTATIONS_PER_BAND = 3
+#: Two documents at the least similarity share no band with this probability at most: 24 bands at 0.85, 38 at 0.8.
+MISS = 1.2e-5
+#: Bands at most, which 0.56 needs; below that similarity more links are missed.
+MOST_BANDS = 384
+#: Members of a pivot from which on its comparisons are dealt to several tasks, and to how many.
+HOT_PIVOT, SHARES = 256, 64
 #: Members of one block of a bucket.
 BLOCK_ROWS = 128
 _RNG = np.random.default_rng(85)
-_PERMUTATIONS = BANDS * PERMUTATIONS_PER_BAND
+_PERMUTATIONS = MOST_BANDS * PERMUTATIONS_PER_BAND
 _TIMES = _RNG.integers(0, 2**64, _PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _PLUS = _RNG.integers(0, 2**64, _PERMUTATIONS, dtype=np.uint64)
 _FOLD = _RNG.integers(0, 2**64, (64, 2), dtype=np.uint64) | np.uint64(1)
-_BAND = _RNG.integers(0, 2**64, (BANDS, 2 * PERMUTATIONS_PER_BAND), dtype=np.uint64) | np.uint64(1)
+_BAND = _RNG.integers(0, 2**64, (MOST_BANDS, 2 * PERMUTATIONS_PER_BAND), dtype=np.uint64) | np.uint64(1)
 #: Shingles whose permutations are held at once.
 _STEP = 1024
 _SIGNATURE = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"
@@ -63,33 +69,40 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
-def band_values(shingles: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """Bands that leave a pair of the least similarity without a common one with a probability of ``MISS``."""
+    shared = (percent / 100) ** (2 * PERMUTATIONS_PER_BAND)
+    return 1 if shared >= 1 else min(MOST_BANDS, math.ceil(math.log(MISS) / math.log1p(-shared))) if shared > 0 else MOST_BANDS
+
+
+def band_values(shingles: np.ndarray, bands: int) -> np.ndarray:
     """One value per band from the minimum and the maximum of the band's permutations."""
-    low = np.full(_PERMUTATIONS, 2**64 - 1, np.uint64)
-    high = np.zeros(_PERMUTATIONS, np.uint64)
+    used = bands * PERMUTATIONS_PER_BAND
+    low = np.full(used, 2**64 - 1, np.uint64)
+    high = np.zeros(used, np.uint64)
     for first in range(0, len(shingles), _STEP):
-        values = _TIMES[:, None] * shingles[first : first + _STEP]
-        values += _PLUS[:, None]
+        values = _TIMES[:used, None] * shingles[first : first + _STEP]
+        values += _PLUS[:used, None]
         np.minimum(low, values.min(axis=1), out=low)
         np.maximum(high, values.max(axis=1), out=high)
-    both = np.stack((low, high), axis=1).reshape(BANDS, -1)
-    return mix((both * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    both = np.stack((low, high), axis=1).reshape(bands, -1)
+    return mix((both * _BAND[:bands]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, count: int) -> DataFrame:
     """Set size, a 128-bit print of the set and the band values of each document's whole text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             sizes, prints = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
-            bands, used = np.zeros((n, BANDS), np.uint64), np.zeros(n, bool)
+            bands, used = np.zeros((n, count), np.uint64), np.zeros(n, bool)
             for i, s in enumerate(shingle_sets(batch.column(1))):
                 if len(s):
                     sizes[i], used[i] = len(s), True
                     prints[i] = s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                    bands[i] = band_values(s)
-            ends = np.concatenate(([0], np.cumsum(np.where(used, BANDS, 0)))).astype(np.int32)
+                    bands[i] = band_values(s, count)
+            ends = np.concatenate(([0], np.cumsum(np.where(used, count, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[used].ravel().view(np.int64)))
             columns = [batch.column(0), pa.array(sizes), pa.array(prints[:, 0].copy().view(np.int64)), pa.array(prints[:, 1].copy().view(np.int64)), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print_a", "print_b", "bands"])
@@ -105,11 +118,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    joined = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    )
+    """The pairs (a, b) whose full sets are similar enough. The many pairs of one ``a`` are dealt to ``SHARES`` tasks."""
+    hot = may_be_among(saved(pairs.groupBy("a").count().where(F.col("count") > HOT_PIVOT).select("a"), "hot"), "a")
+    none = F.lit(0)
+    mine = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    # The other text of a pair comes first, so that no task gets it only for the pivot's sake.
+    members = pairs.join(mine, "b").withColumn("share", F.when(hot(F.col("a")), F.pmod(F.xxhash64("b"), F.lit(SHARES))).otherwise(none).cast("int"))
+    every = F.when(hot(F.col("doc_id")), F.sequence(none, F.lit(SHARES - 1))).otherwise(F.array(none))
+    pivots = texts.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shares = pivots.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.explode(every).alias("share"))
+    joined = members.join(shares, ["a", "share"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,6 +157,34 @@ def joining_links(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> l
     return links
 
 
+def _cells(rest: DataFrame) -> DataFrame:
+    """(cell, rep, component): which members of (key, rep, component) meet in which comparison.
+
+    The blocks of a bucket meet in pairs, but never two blocks of one component. So a large component beside a few strays
+    is sent once, and once more to each further block of strays.
+    """
+    # A component of a block's size or more has blocks of its own; the members of smaller ones are mixed.
+    sizes = saved(rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    mixed = sizes.where(F.col("n") < BLOCK_ROWS).groupBy("key").agg(F.sum("n").alias("mixed"))
+    shares = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    large = F.col("n") >= BLOCK_ROWS
+    placed = saved(
+        rest.join(sizes, ["key", "component"]).join(mixed, "key", "left")
+        .withColumn("of", F.when(large, F.col("component")))
+        .withColumn("block", F.pmod(F.xxhash64("rep"), shares(F.when(large, F.col("n")).otherwise(F.col("mixed")))).cast("int"))
+        .select("key", "of", "block", "rep", "component"),
+        "blocks",
+    )
+    blocks = placed.select("key", F.struct(F.coalesce(F.col("of"), F.lit(-(2**63))).alias("of"), F.col("block")).alias("at"), F.col("of").isNull().alias("mix")).distinct()
+    i, j = blocks.select("key", F.col("at").alias("i"), F.col("mix").alias("i_mix")), blocks.select("key", F.col("at").alias("j"), F.col("mix").alias("j_mix"))
+    cells = i.join(j, "key").where("i <= j and (i.of <> j.of or (i_mix and j_mix))").select("key", "i", "j")
+    sides = cells.withColumn("at", F.explode(F.array_distinct(F.array("i", "j"))))
+    at = F.struct(F.coalesce(F.col("of"), F.lit(-(2**63))).alias("of"), F.col("block"))
+    return placed.select("key", at.alias("at"), "rep", "component").join(sides, ["key", "at"]).select(
+        F.xxhash64("key", "i", "j").alias("cell"), "rep", "component"
+    )
+
+
 def _rest_of_buckets(members: DataFrame, texts: DataFrame, group: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that share a bucket, beside those with the bucket's smallest member.
 
@@ -153,14 +199,8 @@ def _rest_of_buckets(members: DataFrame, texts: DataFrame, group: DataFrame, per
         F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
     ).where("low <> high")
     # Bands often agree on a bucket's members; one bucket of each member list is enough.
-    chosen = facts.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    dealt = (
-        rest.join(chosen, "key").withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component")
-    )
+    chosen = facts.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    texted = _cells(rest.join(chosen, "key")).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         reps = table.column("rep").to_numpy()
@@ -169,8 +209,7 @@ def _rest_of_buckets(members: DataFrame, texts: DataFrame, group: DataFrame, per
         a, b = (reps[[p[k] for p in links]] if links else np.empty(0, np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    texted = dealt.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    return texted.select("key", "i", "j", "rep", "component", "text").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return texted.select("cell", "rep", "component", "text").groupBy("cell").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -181,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_id are one document: they share its links, compared by one of their texts. A row with a null
     doc_id links with nothing, has a null component and is kept. Other columns are not read.
     """
-    signed = saved(signatures(docs), "signatures")
+    signed = saved(signatures(docs, bands_for(percent)), "signatures")
     classes = saved(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("print_a", "print_b", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -55,15 +55,11 @@ def numbered(
 FILTER_BITS = 1 << 23
 
 
-def among(rows: DataFrame, ids: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose id may be among ``ids``, by a bitmap of fixed size: a filter in front of a join.
-
-    It keeps every row that the join needs, and most others away from the shuffle while the ids are fewer than the
-    bits; with many more ids it keeps all rows and the join does all the work.
-    """
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
+def may_be_among(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test of an id column: true for every id among ``ids``, and for few others while the ids are fewer than the bits."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = (
-        ids.select(slot(column).alias("s")).distinct()
+        ids.select(slot(F.col(column)).alias("s")).distinct()
         .groupBy((F.col("s") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m"))
         .toPandas()
     )
@@ -75,7 +71,16 @@ def among(rows: DataFrame, ids: DataFrame, column: str, bits: int = FILTER_BITS)
         s = slots.to_numpy(np.int64)
         return pd.Series((bitmap[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1)
 
-    return rows.where(may_hold(slot(column)))
+    return lambda c: may_hold(slot(c))
+
+
+def among(rows: DataFrame, ids: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose id may be among ``ids``, by a bitmap of fixed size: a filter in front of a join.
+
+    It keeps every row that the join needs, and most others away from the shuffle while the ids are fewer than the
+    bits; with many more ids than bits it keeps all rows and the join does all the work.
+    """
+    return rows.where(may_be_among(ids, column, bits)(F.col(column)))
 
 
 def components(edges: DataFrame) -> DataFrame:

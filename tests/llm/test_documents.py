@@ -72,6 +72,35 @@ def test_near_duplicates_equal_brute_force(spark, documents, odd_documents, monk
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_a_large_group_with_strays_is_sent_once(spark):
+    """What travels grows with the group, not with its square: strays meet every block of it, its blocks never each other."""
+    sent = []
+    for n in (1000, 4000):
+        rows = [(k, i, 0 if i < n else i) for k in (1, 2) for i in range(n + 5 * k)]
+        cells = minhash_dedup._cells(spark.createDataFrame(rows, "key long, rep long, component long"))
+        sent.append(cells.count())
+        met = {}
+        for r in cells.collect():
+            met.setdefault(r.cell, set()).add(r.component)
+        assert all(len(c) > 1 for c in met.values())
+    assert sent[0] < 2.5 * 1000 and sent[1] < 4.5 * sent[0]
+
+
+def test_hot_pivots_are_dealt_to_several_tasks(spark, documents, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "HOT_PIVOT", 3)
+    rows = near([], random.Random(5))
+    got = minhash_dedup.near_duplicates(documents(rows), 85).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute_near(rows, 85)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 100])
+def test_bands_follow_the_similarity(spark, documents, percent):
+    rows = near([], random.Random(percent))
+    got = minhash_dedup.near_duplicates(documents(rows), percent).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute_near(rows, percent)
+    assert [minhash_dedup.bands_for(p) for p in (80, 85, 100)] == [38, 24, 1]
+
+
 def test_joining_links_join_what_is_linked():
     import numpy as np
 
