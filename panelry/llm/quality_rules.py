@@ -26,6 +26,8 @@ PAIR = 31
 SMOOTHING = 1.0
 #: A document stays if its mean log-likelihood ratio per n-gram is at least this.
 LEAST = -0.2
+#: Ids that are broadcast at most: 8 MB.
+FEW_IDS = 1_000_000
 #: Bits of the filter in front of the join of labelled texts; its size is fixed.
 FILTER_BITS = 1 << 20
 
@@ -106,9 +108,12 @@ def bucket_counts(texts: DataFrame, name: str, buckets: int = BUCKETS) -> DataFr
     return both.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of documents labelled good. A bitmap of fixed size keeps most other texts away from the join's shuffle."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+def trusted_texts(docs: DataFrame, labels: DataFrame, few: int = FEW_IDS) -> DataFrame:
+    """Texts of documents labelled good. At most ``few`` ids, counted first, are broadcast; with more of them the texts are
+    shuffled for a join, and a bitmap of fixed size keeps most other texts away from that."""
+    good = saved(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct(), "trusted")
+    if good.count() <= few:
+        return docs.select("doc_id", "text").join(F.broadcast(good), "doc_id").select("text")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))")
     held = good.groupBy((slot / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits"))

@@ -80,6 +80,12 @@ def test_rules_without_labels_or_rows(spark, odd_documents):
     assert quality_rules.judge(odd_documents.limit(0), labels_of(spark, [1])).count() == 0
 
 
+def test_trusted_texts_are_the_same_with_and_without_a_broadcast(spark, odd_documents):
+    labels = labels_of(spark, [1, 4, 9, 15, 999])
+    few, many = (sorted(map(str, quality_rules.trusted_texts(odd_documents, labels, n).collect())) for n in (100, 0))
+    assert few == many and len(few) == 5  # both rows of 15
+
+
 def test_windows_that_share_hash_bits_are_told_apart(spark):
     """Equal hashes of different windows: the exact way decides."""
     words = ["a b c d e f g".split(), "a b c d e a b c d e".split(), "v w x y z a b c d e v w x y z".split()]
