@@ -32,7 +32,7 @@ def test_stages_do_what_brute_force_does(spark):
     assert sorted(r.doc_id for r in good.collect()) == sorted(i for i, p in scores.items() if p)
     texts = [(r.doc_id, r.text) for r in good.collect()]
     single = stages["MinHash near-dedup"](spark, good, SF_DIR)
-    groups = [eval(x) for x in brute_near(texts, 85)]
+    groups = [eval(x) for x in brute_near(texts, 80)]
     assert sorted(r.doc_id for r in single.collect()) == sorted(i for i, _, g in groups if i == g)
     rows = [(r.doc_id, r.text) for r in single.collect()]
     cut = stages["suffix-array dedup"](spark, single, SF_DIR)
