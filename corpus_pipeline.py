@@ -18,8 +18,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return minhash_dedup.drop_near_duplicates(docs, percent=85)
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return minhash_dedup.drop_near_duplicates(docs, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
