@@ -57,6 +57,10 @@ def _encoder(tokenizer: str, ranks: str | None, pattern: str | None) -> Encoder:
     return _LOADED[tokenizer, ranks]
 
 
+#: Slots of a plan that is broadcast, 40 bytes each; a larger one is joined by length.
+BROADCAST_SLOTS = 500_000
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, capacity: int = CAPACITY
 ) -> DataFrame:
@@ -167,7 +171,8 @@ def pack(
     slots = plan_slots(best_two_fit(counts, capacity))
     plan = spark.createDataFrame(slots, "length long, first long, last long, sequence long, offset long")
     ranked = numbered(pieces, ["length"], [F.col("doc_id"), F.col("piece")], sum(counts.values()), "rank")
-    a, b = ranked.alias("a"), plan.alias("b")
+    # Most pieces of long documents share one length: the plan goes to every task while it is small.
+    a, b = ranked.alias("a"), (F.broadcast(plan) if len(slots) <= BROADCAST_SLOTS else plan).alias("b")
     here = (F.col("a.length") == F.col("b.length")) & F.col("a.rank").between(F.col("b.first"), F.col("b.last"))
     return a.join(b, here).select(
         "a.doc_id", "a.piece", "a.start", "a.length", "a.ids_crc32",

@@ -78,7 +78,7 @@ class Regions:
         self.owner, self.first = owner[begin], windows[begin]
         self.last = windows[np.append(begin[1:], len(windows)) - 1]
         self.key = (least[begin] << _U(48)) | (least[begin] >> _U(16))
-        self.hash = hasher.between(self.first, self.last + length) >> _U(24)
+        self.hash = hasher.between(self.first, self.last + length)
 
 
 class Plan(NamedTuple):
@@ -180,7 +180,7 @@ def _unplanes(raw: memoryview, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_WIDTHS = {"key": 8, "hash": 5, "value": 8, "number": 4, "first": 4, "size": 4}
+_WIDTHS = {"key": 8, "hash": 8, "value": 8, "number": 4, "first": 4, "size": 4}
 
 
 def packed(ids: np.ndarray, tags: np.ndarray, owner: np.ndarray, rest: bytes = b"", **columns: np.ndarray) -> bytes:
