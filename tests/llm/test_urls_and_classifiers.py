@@ -1,6 +1,7 @@
 """The url filter and the two classifiers."""
 
 import os
+import random
 import re
 
 import pytest
@@ -29,22 +30,42 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("sweep", [3, 4096])
-def test_verdicts_equal_brute_force(spark, monkeypatch, sweep):
-    monkeypatch.setattr(url_filter, "SWEEP_ROWS", sweep)
+@pytest.mark.parametrize("sweep", [3, 40, 4096])
+def test_verdicts_equal_brute_force(spark, sweep):
     pages = spark.createDataFrame([(i, u, None, "x", "y", "z") for i, u in enumerate([*URLS, *URLS])], "page_id long, url string, html string, host string, path string, key string")
     more = [*RULES, ("block", "example.com", "/en/x"), ("allow", "b.www.example.com", "/"), ("block", "com", "/en")]
     for rules in (RULES, more):
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, sweep_rows=sweep).collect()}
         assert got == {i: brute_verdict(u, rules) for i, u in enumerate([*URLS, *URLS])}
     assert url_filter.filter_urls(pages.limit(0), RULES).collect() == []
 
 
+def test_many_rules_are_not_copied(spark):
+    """Two thousand nested and plain rules over many ranges: each is in one range, and verdicts stay right."""
+    rng = random.Random(8)
+    hosts = [f"h{i}.example.com" for i in range(40)] + ["example.com", "com"]
+    rules = sorted({(rng.choice(["allow", "block"]), h, "/" + "/".join(rng.choices("ab", k=d))) for h in hosts for d in range(1, 7) for _ in range(12)})
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    urls = [f"http://{rng.choice(['', 'www.', 'x.y.'])}{rng.choice(hosts)}/{'/'.join(rng.choices('abc', k=rng.randrange(8)))}" for _ in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    placed = url_filter._ranged(pages, rules, 100)
+    assert placed.where("kind = 0").count() == len(rules) > 1000 and placed.select("range").distinct().count() > 10
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, sweep_rows=100).collect()}
+    assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
+
+
+def test_no_rules_allow_everything(spark):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    assert {(r.rule, r.verdict) for r in url_filter.filter_urls(pages, []).collect()} == {(None, "allow")}
+
+
 def test_url_plan_is_native(spark):
     if not os.path.isdir(SF_DIR):
         pytest.skip("test tables are not here")
-    plan = QUERIES["op4_url_filter"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "ReadSchema: struct<page_id:bigint,url:string>" in plan
+    before = url_filter._entered(spark.read.parquet(f"{SF_DIR}/pages.parquet"))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (before, QUERIES["op4_url_filter"](spark, SF_DIR))]
+    assert not any(word in plan for plan in plans for word in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+    assert "ReadSchema: struct<page_id:bigint,url:string>" in plans[0]
 
 
 def labelled(spark, documents):
