@@ -103,16 +103,39 @@ def _intervals(points: DataFrame, epsilon: float, rows: int) -> DataFrame:
     return ordered.mapInArrow(cut, _INTERVAL)
 
 
+def _box_tree(boxes: DataFrame) -> list[DataFrame]:
+    """Levels of (label, dim, node, parent, low, high): the intervals, then the parts they are in, then eight parts at a time,
+    up to one node a label and length. Nodes follow the sequence, so those of a level lie side by side on the grid."""
+    part = F.split("interval", "-")[0].cast("long")
+    level = boxes.select("label", "dim", F.col("interval").alias("node"), part.alias("parent"), "low", "high")
+    levels, most = [level], boxes.agg(F.max(part)).first()[0] or 0
+    low = F.array(*[F.min(F.get("low", F.lit(i))) for i in range(DIRECTIONS)])
+    high = F.array(*[F.max(F.get("high", F.lit(i))) for i in range(DIRECTIONS)])
+    while True:
+        nodes = level.groupBy("label", "dim", F.col("parent").alias("node")).agg(low.alias("low"), high.alias("high"))
+        level = saved(nodes.select("label", "dim", "node", F.shiftright("node", 3).alias("parent"), "low", "high"), "boxes")
+        levels.append(level)
+        if most == 0:
+            return levels
+        most >>= 3
+
+
 def _interval_pairs(boxes: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs (a, b) of intervals of one label whose boxes come within epsilon; each pair once, and each with itself."""
-    cell = lambda c: F.floor(F.get(c, F.lit(0)) / epsilon)
-    meta = boxes.select("interval", "label", "dim", "low", "high")
-    a = meta.select(*[F.col(c).alias(f"a_{c}") for c in meta.columns]).withColumn("cell", F.explode(F.sequence(cell("a_low"), cell("a_high"))))
-    b = meta.select(*[F.col(c).alias(f"b_{c}") for c in meta.columns]).withColumn("cell", F.explode(F.sequence(cell("b_low") - 1, cell("b_high") + 1)))
+    """Pairs (a, b) of intervals of one label and length whose boxes come within epsilon; each pair once, and each with itself.
+
+    A recursive join of the sequence with itself, level by level of its tree: of a pair of nodes that are near, the children
+    are paired, at most 64 pairs; of a pair that is provably distant none. So no pairing is keyed by a label or a cell.
+    """
+    *levels, top = _box_tree(boxes)
+    pairs = top.select("label", "dim", F.col("node").alias("a"), F.col("node").alias("b"))
     gap = lambda i: F.greatest(F.lit(0.0), F.get("b_low", F.lit(i)) - F.get("a_high", F.lit(i)), F.get("a_low", F.lit(i)) - F.get("b_high", F.lit(i)))
     far = sum((gap(i) * gap(i) for i in range(1, DIRECTIONS)), gap(0) * gap(0))
-    near = (F.col("a_label") == F.col("b_label")) & (F.col("a_dim") == F.col("b_dim")) & (F.col("a_interval") <= F.col("b_interval"))
-    return a.join(b, (a["cell"] == b["cell"]) & near & (far <= epsilon * epsilon + _SLACK)).select("a_interval", "b_interval").distinct()
+    for level in reversed(levels):
+        side = lambda s: level.select("label", "dim", F.col("parent").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "low", "high")])  # noqa: B023, E731
+        both = pairs.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"])
+        near = (F.col("a_node") <= F.col("b_node")) & (far <= epsilon * epsilon + _SLACK)
+        pairs = saved(both.where(near).select("label", "dim", F.col("a_node").alias("a"), F.col("b_node").alias("b")), "pairs")
+    return pairs.select(F.col("a").alias("a_interval"), F.col("b").alias("b_interval"))
 
 
 def join_intervals(a: dict, b: dict, least: float, same: bool) -> np.ndarray:
@@ -183,7 +206,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     points = saved(_placed(classes, directions(classes)), "points")
     epsilon = math.sqrt(max(1e-12, 2 - 2 * least))
     blocks = saved(_intervals(points, epsilon, classes.count()), "intervals")
-    pairs = saved(_interval_pairs(blocks, epsilon), "interval-pairs")
+    pairs = _interval_pairs(blocks, epsilon)
     tasks = pairs.count() // 4 + 1
     fields = ["dim", "reps", "copies", "vecs", "places"]
     side = lambda s: blocks.select(F.col("interval").alias(f"{s}_interval"), *[F.col(c).alias(f"{s}_{c}") for c in fields])

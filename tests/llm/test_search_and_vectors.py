@@ -1,5 +1,7 @@
 """Top-k search and the embedding join against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -97,3 +99,18 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, leaf):
 
 def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(table(spark, [])).collect() == []
+
+
+def test_interval_pairs_equal_a_plain_search(spark):
+    """Boxes of two labels along a line and of a third in one place: the tree finds the pairs that all pairs would give."""
+    rng = random.Random(9)
+    rows = []
+    for label, dim, at in (("a", 8, lambda i: i / 40), ("b", 8, lambda i: rng.random()), ("b", 3, lambda i: i / 3), ("c", 8, lambda i: 0.5)):
+        for i in range(70):
+            low = [at(i), *[rng.random() / 5 for _ in range(embedding_dedup.DIRECTIONS - 1)]]
+            rows.append((f"{len(rows) // 9:09d}-{i:09d}", label, dim, low, [x + rng.random() / 20 for x in low]))
+    boxes = spark.createDataFrame(rows, "interval string, label string, dim int, low array<double>, high array<double>")
+    far = lambda p, q: sum(max(0, q[3][k] - p[4][k], p[3][k] - q[4][k]) ** 2 for k in range(embedding_dedup.DIRECTIONS))
+    want = sorted((p[0], q[0]) for p in rows for q in rows if p[1:3] == q[1:3] and p[0] <= q[0] and far(p, q) <= 0.01)
+    assert sorted(map(tuple, embedding_dedup._interval_pairs(boxes, 0.1).collect())) == want
+    assert embedding_dedup._interval_pairs(boxes.limit(0), 0.1).count() == 0
