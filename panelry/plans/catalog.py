@@ -509,6 +509,9 @@ QUERIES: dict[str, Query] = {
     "category_residuals": lambda s, d: tidy(evaluation.category_residuals(ranked_errors(s, d))),
     "overall_metrics": lambda s, d: evaluation.overall_metrics(naive_metrics(s, d)),
     "forecasting_run_metrics": _all_models,
+    "forecasting_run_rows": lambda s, d: _all_models(s, d).select(
+        "cat_id", "model", "observations", ((F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae"))).alias("errors_agree")
+    ),
     # reports
     "overview_kpis": lambda s, d: tidy(reports.overview_kpis(unpriced(s, d), retail.sold_products(s, d))),
     "category_mix": lambda s, d: reports.category_mix(unpriced(s, d)),

@@ -551,6 +551,9 @@ ORACLES: dict[str, str] = {
         "select cat_id, cast(t - 1 as int) day_number, expected, level, trend, effect from run where t > 0", "expected level trend effect"
     ),
     "ets_rescored": sql("select distinct cat_id, true agrees from train"),
+    "forecasting_run_rows": sql(
+        """select case when grouping(cat_id) = 1 then 'ALL' else cat_id end cat_id, model, count(*) observations, true errors_agree
+           from test, (values ('Seasonal Naive'), ('ETS'), ('Gradient Boosting')) m(model) group by grouping sets ((cat_id, model), (model))"""),
     "gbt_forecast_rows": sql("select date, cat_id, 'Gradient Boosting' model, true not_negative from test"),
     "gbt_importance_totals": "select 1.0::double gain, 1.0::double cover, 1.0::double frequency",
     "gbt_predictors": sql(
