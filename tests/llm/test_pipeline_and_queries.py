@@ -57,3 +57,15 @@ def test_components_of_paths_stars_and_rings(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)} | {700 + i: 700 for i in range(9)}
     assert got == want
+
+
+def test_stages_take_no_rows_repeated_ids_and_extra_columns(spark, odd_documents):
+    """Every stage on odd rows, and on none of them, keeps the columns it was given; the last one packs all that is left."""
+    for docs in (odd_documents, odd_documents.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, docs, SF_DIR)
+            assert left.columns == docs.columns, name
+            docs = spark.createDataFrame(left.collect(), left.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+        assert packed.where("piece = 0").count() == docs.count()
+        assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
