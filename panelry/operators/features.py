@@ -56,6 +56,15 @@ FEATURE_DICTIONARY = [
 ]
 
 
+def _day_ranges(df: DataFrame, keys: Sequence[str], first_day: Column, last_day: Column) -> DataFrame:
+    """Adds ``_start`` and ``_stop``: the days each row stands for once its series has a row on every day."""
+    series = Window.partitionBy(*keys).orderBy("date")
+    start = F.when(F.lag("date").over(series).isNull(), F.least(first_day, F.col("date"))).otherwise(F.col("date"))
+    until = F.coalesce(F.date_sub(F.lead("date").over(series), 1), F.greatest(last_day, F.col("date")))
+    stop = F.greatest(until, F.col("date"))  # a repeated day ends on itself
+    return df.withColumns({"_start": start, "_stop": stop})
+
+
 def densify(
     df: DataFrame,
     keys: Sequence[str],
@@ -70,11 +79,7 @@ def densify(
     constant per series and carry over. One shuffle on the series key, which the feature windows then
     reuse; no join against a day table.
     """
-    series = Window.partitionBy(*keys).orderBy("date")
-    start = F.when(F.lag("date").over(series).isNull(), F.least(first_day, F.col("date"))).otherwise(F.col("date"))
-    until = F.coalesce(F.date_sub(F.lead("date").over(series), 1), F.greatest(last_day, F.col("date")))
-    stop = F.greatest(until, F.col("date"))  # a repeated day ends on itself
-    filled = df.withColumns({"_start": start, "_stop": stop}).select(
+    filled = _day_ranges(df, keys, first_day, last_day).select(
         *df.columns, F.explode(F.sequence("_start", "_stop")).alias("_day")
     )
     observed = F.col("_day") == F.col("date")
@@ -88,6 +93,33 @@ def densify(
     )
 
 
+def dense_values(
+    df: DataFrame, keys: Sequence[str], first_day: Column, last_day: Column, value: str, name: str = "_values"
+) -> DataFrame:
+    """One row per series with the values of all its days in order, 0.0 on days without a row: what ``densify`` gives, gathered.
+
+    Only rows that exist are shuffled, sorted and gathered. The empty days enter afterwards, within the series' own row,
+    so nothing on disk grows with the number of days. The rows are few against what they become, so the series are dealt to
+    four tasks per core, however few bytes they have by then (a wide row costs each task about a second to compile).
+    """
+    day, zeros = F.col("date"), lambda n: F.array_repeat(F.lit(0.0), n)
+    dealt = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    ranged = _day_ranges(dealt, keys, first_day, last_day).select(
+        *keys, "date", F.col(value).cast("double").alias("_value"),
+        F.datediff(day, "_start").alias("_before"), F.datediff("_stop", day).alias("_after"),
+        (F.abs(F.datediff("_stop", "_start")) + 1).alias("_all"),
+    )
+    gathered = ranged.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("date", "_value", "_before", "_after", "_all"))).alias("_rows")
+    )
+
+    def run(row: Column) -> Column:
+        dated = F.concat(zeros(row["_before"]), F.array(row["_value"]), zeros(row["_after"]))
+        return F.when(row["date"].isNull(), zeros(row["_all"])).otherwise(dated)  # a row without a date holds no day's value
+
+    return gathered.select(*keys, F.flatten(F.transform("_rows", run)).alias(name))
+
+
 def calendar_features(df: DataFrame, date: str = "date") -> DataFrame:
     """Fifteen calendar fields of a date column."""
     day = F.col(date)

@@ -13,7 +13,7 @@ from panelry.functions.expressions import iso_week_key
 from panelry.operators.cleaning import (
     add_row_flags, daily_category_sales, join_calendar, snake_columns,
 )
-from panelry.operators.features import densify
+from panelry.operators.features import dense_values, densify
 from panelry.sources.io import read_table
 
 # Our synthetic event calendar, (month, day) -> (name, type).
@@ -178,7 +178,7 @@ def sales_wide(
     """Raw-file layout: one row per series, one zero-filled ``d_`` column per day of the data.
 
     The number of columns is the number of days, so only the two bounds come to the driver. A series
-    is gathered after the daily sums, as one value per day. With ``store``, other stores go before the sums.
+    is gathered from the daily sums that exist, as one value per day. With ``store``, other stores go before the sums.
     """
     bounds = day_bounds(spark, sf_dir).first()
     daily = (
@@ -187,8 +187,7 @@ def sales_wide(
         .groupBy(*keys, "date")
         .agg(F.sum("units").alias("sales"))
     )
-    dense = densify(daily, list(keys), F.lit(bounds.lo), F.lit(bounds.hi), zero=["sales"])
-    rows = dense.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "sales")))["sales"].alias("_values"))
+    rows = dense_values(daily, list(keys), F.lit(bounds.lo), F.lit(bounds.hi), "sales")
     days = (bounds.hi - bounds.lo).days + 1
     return rows.selectExpr(*keys, *[f"_values[{n}] as d_{n + 1}" for n in range(days)])
 

@@ -113,3 +113,16 @@ def test_missingness_takes_only_existing_columns(panel):
     _, df = panel
     got = {r.feature: r.missing_pct for r in features.feature_missingness(df, ["average_price", "units_sold", "absent"]).collect()}
     assert got == {"average_price": 100.0, "units_sold": 0.0}
+
+
+def test_dense_values_equal_the_gathered_panel_and_gather_no_empty_day(spark):
+    rows = [(day(3), "a", 2.0), (day(1), "a", 5.0), (day(6), "a", 0.0), (day(9), "b", 1.0), (day(0), "b", None),
+            (day(4), "c", 7.0), (None, "c", 3.0), (None, "d", 1.0), (day(0), "e", 4.0), (None, "e", 6.0)]
+    df = spark.createDataFrame(rows, "date date, k string, v double")
+    lo, hi = F.lit(day(0)), F.lit(day(9))
+    dense = features.densify(df, ["k"], lo, hi, zero=["v"])
+    gathered = dense.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("date", "v")))["v"].alias("_values"))
+    got = features.dense_values(df, ["k"], lo, hi, "v")
+    assert {r.k: r._values for r in got.collect()} == {r.k: r._values for r in gathered.collect()}
+    assert got.where("k = 'a'").first()._values == [0.0, 5.0, 0.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()

@@ -72,3 +72,8 @@ def reads_of_lines(df):
 def test_few_reads_of_the_lines(spark, name, most):
     """One for the facts, one narrow one for the days; where asked, one for item numbers or recorded prices."""
     assert 1 <= reads_of_lines(QUERIES[name](spark, SF_DIR)) <= most
+
+
+def test_wide_tables_gather_only_days_with_lines(spark):
+    """Empty days come after the only aggregate of a series: one explode, that of the unpivot itself."""
+    assert plan(spark, "unpivot_store_sales").split("== Initial Plan ==")[0].count("Generate ") == 1
