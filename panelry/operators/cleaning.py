@@ -185,15 +185,30 @@ def daily_category_sales(
     """Daily units, revenue, sales-weighted price and number of items sold.
 
     The price weight of a row is its sales, at least 1. ``one_row_per_item`` states that each item
-    has at most one row per group: items sold are then counted in the partial aggregate, without the
-    extra shuffle of a distinct count.
+    has at most one row per group: items sold are then counted in the partial aggregate. Otherwise the rows of an item
+    are added up first, without a shuffle where they lie together by item and some of the keys.
     """
-    sold = F.when(F.col("sales") > 0, F.col("item_id"))
-    return df.groupBy(*keys).agg(
-        F.sum("sales").alias("units_sold"),
-        total("revenue").alias("revenue"),
-        weighted_mean("sell_price", F.greatest(F.col("sales"), F.lit(1.0))).alias("average_price"),
-        (F.count(sold) if one_row_per_item else F.count_distinct(sold)).alias("active_items"),
+    weight = F.greatest(F.col("sales"), F.lit(1.0))
+    sold = F.col("sales") > 0
+    if one_row_per_item:
+        return df.groupBy(*keys).agg(
+            F.sum("sales").alias("units_sold"),
+            total("revenue").alias("revenue"),
+            weighted_mean("sell_price", weight).alias("average_price"),
+            F.count(F.when(sold, F.col("item_id"))).alias("active_items"),
+        )
+    per_item = df.groupBy(*keys, "item_id").agg(
+        F.sum("sales").alias("_units"),
+        F.sum("revenue").alias("_revenue"),
+        F.sum(F.col("sell_price") * weight).alias("_value"),
+        F.sum(F.when(F.col("sell_price").isNotNull(), weight)).alias("_weight"),
+        F.max(sold).alias("_sold"),
+    )
+    return per_item.groupBy(*keys).agg(
+        F.sum("_units").alias("units_sold"),
+        total("_revenue").alias("revenue"),
+        F.try_divide(F.sum("_value"), F.sum("_weight")).alias("average_price"),
+        F.count(F.when(F.col("_sold"), F.col("item_id"))).alias("active_items"),
     )
 
 

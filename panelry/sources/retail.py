@@ -155,21 +155,33 @@ def weekly_price(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("sell_price", F.max("unit_price").over(week)).drop("unit_price")
 
 
-def item_days(spark: SparkSession, sf_dir: str, store: str | None = None) -> DataFrame:
-    """One row per store, item and day. After this no item has more rows than stores × days."""
-    return (
-        numbered_lines(spark, sf_dir, store)
-        .groupBy("store_no", "item_id", "date")
-        .agg(F.sum("units").alias("sales"), F.max("unit_price").alias("unit_price"))
-        .join(products(spark, sf_dir), "item_id")
+def store_item_days(spark: SparkSession, sf_dir: str, store: str | None = None) -> DataFrame:
+    """One row per store, item and day, with the ISO week.
+
+    The lines are dealt once, by item and week: the days' sums, the week's prices and the items sold per day are all found
+    within that partitioning, and an item of many lines spreads over its weeks.
+    """
+    lines = numbered_lines(spark, sf_dir, store).withColumn("wm_yr_wk", iso_week_key("date"))
+    return lines.repartition("item_id", "wm_yr_wk").groupBy("store_no", "item_id", "wm_yr_wk", "date").agg(
+        F.sum("units").alias("sales"), F.max("unit_price").alias("unit_price")
     )
 
 
+def item_days(spark: SparkSession, sf_dir: str, store: str | None = None) -> DataFrame:
+    """One row per store, item and day with department and category. After this no item has more rows than stores × days."""
+    return store_item_days(spark, sf_dir, store).drop("wm_yr_wk").join(products(spark, sf_dir), "item_id")
+
+
 def sales_fact(spark: SparkSession, sf_dir: str, store: str | None = None) -> DataFrame:
-    """The cleaned fact table, of one store or of all: item-store days with calendar, price, flags and revenue."""
-    joined = join_calendar(item_days(spark, sf_dir, store), calendar(spark, sf_dir), on="date")
-    priced = weekly_price(joined, "store_no", "item_id")
-    return add_row_flags(priced.join(stores(spark, sf_dir), "store_no").drop("store_no"))
+    """The cleaned fact table, of one store or of all: item-store days with calendar, price, flags and revenue.
+
+    Prices and names come before the products: what the product join may have to shuffle then lacks what nobody asks for.
+    """
+    priced = weekly_price(store_item_days(spark, sf_dir, store), "store_no", "item_id")
+    named = priced.join(stores(spark, sf_dir), "store_no").join(products(spark, sf_dir), "item_id")
+    days = calendar(spark, sf_dir).drop("wm_yr_wk")
+    ordered = ["date", "item_id", "sales", "dept_id", "cat_id", "wm_yr_wk", *[c for c in days.columns if c != "date"], "sell_price", "store_id", "state_id"]
+    return add_row_flags(join_calendar(named, days, on="date").select(*ordered))
 
 
 def sales_wide(
@@ -197,10 +209,13 @@ def recorded_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An item's price of a week is the highest of its kept lines, and stays on record until a later week has one.
     """
-    items = product_days(spark, sf_dir).where(F.col("unit_price").isNotNull())
-    weekly = items.groupBy("item_id", "cat_id", iso_week_key("date").alias("wm_yr_wk")).agg(
-        F.round(F.max("unit_price") * 100).cast("long").alias("_cents")
+    kept = F.col("l_returnflag") != "R"
+    cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100
+    week = iso_week_key(F.col("l_shipdate").cast("date"))
+    highest = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("item_id"), week.alias("wm_yr_wk")).agg(
+        F.round(F.max(F.when(kept, cents)) * 100).cast("long").alias("_cents")
     )
+    weekly = highest.where(F.col("_cents").isNotNull()).join(products(spark, sf_dir).select("item_id", "cat_id"), "item_id")
     before = F.lag("_cents").over(Window.partitionBy("item_id").orderBy("wm_yr_wk"))
     return (
         weekly.withColumn("_before", before).groupBy("cat_id", "wm_yr_wk")
@@ -228,7 +243,8 @@ def category_panel(spark: SparkSession, sf_dir: str, price: bool = True) -> Data
     Without ``price`` the column is missing, and the lines are not read for it.
     """
     days = calendar(spark, sf_dir)
-    daily = daily_category_sales(sales_fact(spark, sf_dir), keys=["date", "cat_id"])
+    # The week goes with the date, and is named so that the items of a day need no shuffle of their own.
+    daily = daily_category_sales(sales_fact(spark, sf_dir), keys=["date", "wm_yr_wk", "cat_id"]).drop("wm_yr_wk")
     lo, hi = date_bounds(spark, sf_dir)
     dense = densify(daily.drop("average_price"), ["cat_id"], lo, hi, zero=["units_sold", "revenue", "active_items"])
     dated = join_calendar(dense, days, on="date")

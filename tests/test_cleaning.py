@@ -168,3 +168,14 @@ def test_materialize_keeps_rows_and_schema(spark):
     stored = io.materialize(df)
     assert stored.schema.simpleString() == df.schema.simpleString()
     assert stored.exceptAll(df).isEmpty() and stored.count() == 100
+
+
+def test_items_sold_need_no_shuffle_where_an_items_rows_lie_together(spark):
+    """An item with several rows, one without sales and one without a name; the rows are dealt by item and week."""
+    rows = [(1, 1, "a", 2.0, 6.0, 3.0), (1, 1, "a", 0.0, None, None), (1, 1, "b", 0.0, 0.0, 5.0), (1, 1, None, 4.0, 4.0, 1.0), (2, 1, "a", None, None, None)]
+    df = spark.createDataFrame(rows, "day int, week int, item_id string, sales double, revenue double, sell_price double")
+    daily = cleaning.daily_category_sales(df.repartition("item_id", "week"), ["day", "week"])
+    got = {r.day: (r.units_sold, r.revenue, r.average_price, r.active_items) for r in daily.collect()}
+    assert got == {1: (6.0, 10.0, pytest.approx((2 * 3.0 + 1 * 5.0 + 4 * 1.0) / 7), 1), 2: (None, 0.0, None, 0)}
+    shuffles = daily._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
+    assert shuffles == 2

@@ -77,3 +77,9 @@ def test_few_reads_of_the_lines(spark, name, most):
 def test_wide_tables_gather_only_days_with_lines(spark):
     """Empty days come after the only aggregate of a series: one explode, that of the unpivot itself."""
     assert plan(spark, "unpivot_store_sales").split("== Initial Plan ==")[0].count("Generate ") == 1
+
+
+def test_category_panel_deals_the_lines_once(spark):
+    """One exchange by item and week for sales, prices and items sold, one by item for the recorded prices of earlier weeks."""
+    keyed = re.findall(r"Exchange hashpartitioning\(([^)]*item_id[^)]*), \d+\)", plan(spark, "category_features"))
+    assert sorted(re.sub(r"#\d+L?", "", k) for k in keyed) == ["item_id", "item_id, wm_yr_wk"]
